@@ -10,12 +10,44 @@ from pyspark.sql import functions as F
 from ..session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find
+
+    return find(table(spark, sf_dir, "findings"), "finding_id", "context", "matched_text").select("finding_id", "secret").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import redact
+
+    return redact(table(spark, sf_dir, "findings"), "finding_id", "context", "matched_text").where("n_secrets > 0").withColumnRenamed("id", "finding_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .history import repeated_findings
 
     return repeated_findings(table(spark, sf_dir, "findings"))
 
 
+def _decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of extracted and contexts of findings with their pool: the field and the format of the file."""
+    extracted, findings = table(spark, sf_dir, "extracted"), table(spark, sf_dir, "findings")
+    ending = F.regexp_extract(F.lower("file_path"), r"\.([a-z0-9]{1,10})(?: \([^()]*\))?\s*$", 1)
+    a = extracted.select(F.struct(F.lit("extracted").alias("source_table"), F.col("content_id").alias("record_id")).alias("id"), F.concat(F.lit("text/"), F.lower("file_format")).alias("pool"), "text")
+    b = findings.select(F.struct(F.lit("findings").alias("source_table"), F.col("finding_id").alias("record_id")).alias("id"), F.concat(F.lit("context/"), ending).alias("pool"), F.col("context").alias("text"))
+    return a.unionByName(b).select(F.to_json("id").alias("id"), "pool", "text")
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mojibake import damaged
+
+    parsed = F.from_json("id", "source_table string, record_id long")
+    return damaged(_decoded_texts(spark, sf_dir)).withColumn("id", parsed).select("id.source_table", "id.record_id", "chain", F.when(F.col("chain").isNotNull(), F.col("repaired")).alias("repaired"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_repaired(spark, sf_dir).select("source_table", "record_id").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topn import top_n_by_group
 
@@ -28,7 +60,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p6_found, p7_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p5_found, p5_repaired, p6_found, p7_ids)}
 
 ORACLE: dict[str, str] = {
     "p6_found": """
