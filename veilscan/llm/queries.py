@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import redact
 
-    return redact(table(spark, sf_dir, "findings"), "finding_id", "context", "matched_text").where("n_secrets > 0").withColumnRenamed("id", "finding_id")
+    return redact(table(spark, sf_dir, "findings"), "finding_id", "context", "matched_text").where("n_secrets > 0")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,7 +286,7 @@ def find(df: DataFrame, id_col: str, text_col: str, fallback_col: str | None = N
             yield pd.DataFrame(rows, columns=["id", "start", "end", "kind", "secret"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), source.alias("text")).mapInPandas(run, f"id {kind}, start int, end int, kind string, secret string")
+    return df.select(F.col(id_col).alias("id"), source.alias("text")).mapInPandas(run, f"id {kind}, start int, end int, kind string, secret string").withColumnRenamed("id", id_col)
 
 
 def redact(df: DataFrame, id_col: str, text_col: str, fallback_col: str | None = None) -> DataFrame:
@@ -306,4 +306,4 @@ def redact(df: DataFrame, id_col: str, text_col: str, fallback_col: str | None =
             yield pd.DataFrame({"id": batch["id"], "redacted": out, "n_secrets": counts})
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), source.alias("text")).mapInPandas(run, f"id {kind}, redacted string, n_secrets int")
+    return df.select(F.col(id_col).alias("id"), source.alias("text")).mapInPandas(run, f"id {kind}, redacted string, n_secrets int").withColumnRenamed("id", id_col)
