@@ -60,7 +60,27 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p5_found, p5_repaired, p6_found, p7_ids)}
+def p8_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .leakage import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_aligned(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repetition import repetition
+
+    return repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_repetition(spark, sf_dir).where("share >= 0.4").select("doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p5_found, p5_repaired, p6_found, p7_ids, p8_found, p8_aligned, p9_found, p9_repetition)}
 
 ORACLE: dict[str, str] = {
     "p6_found": """
