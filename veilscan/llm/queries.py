@@ -28,6 +28,25 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_findings(table(spark, sf_dir, "findings"))
 
 
+def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = table(spark, sf_dir, "extracted").select(F.lit("extracted").alias("source_table"), F.col("content_id").alias("record_id"), "text")
+    return extracted.unionByName(table(spark, sf_dir, "findings").select(F.lit("findings").alias("source_table"), F.col("finding_id").alias("record_id"), F.col("context").alias("text")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import document_number, find, lexicon_of
+
+    found = find(_personal_texts(spark, sf_dir), lexicon_of(table(spark, sf_dir, "name_lexicon")))
+    numbers = table(spark, sf_dir, "parsed_mrz").select(F.lit("parsed_mrz").alias("source_table"), F.col("mrz_id").alias("record_id"), F.lit("identity_number").alias("pii_kind"), document_number(F.col("document_number")).alias("pii_value"))
+    return found.select("source_table", "record_id", "pii_kind", "pii_value").unionByName(numbers.where(F.col("pii_value").isNotNull())).distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import lexicon_of, redact
+
+    return redact(_personal_texts(spark, sf_dir), lexicon_of(table(spark, sf_dir, "name_lexicon")))
+
+
 def _decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of extracted and contexts of findings with their pool: the field and the format of the file."""
     extracted, findings = table(spark, sf_dir, "extracted"), table(spark, sf_dir, "findings")
@@ -80,7 +99,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_repetition(spark, sf_dir).where("share >= 0.4").select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p5_found, p5_repaired, p6_found, p7_ids, p8_found, p8_aligned, p9_found, p9_repetition)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p4_found, p4_redacted, p5_found, p5_repaired, p6_found, p7_ids, p8_found, p8_aligned, p9_found, p9_repetition)}
 
 ORACLE: dict[str, str] = {
     "p6_found": """
