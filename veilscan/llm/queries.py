@@ -28,6 +28,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_findings(table(spark, sf_dir, "findings"))
 
 
+def _scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of extracted, each a scope of its own, and pages of image_results, whose scope is their directory."""
+    a = table(spark, sf_dir, "extracted").select(F.lit("extracted").alias("source_table"), F.col("content_id").alias("record_id"), F.concat(F.lit("text:"), F.col("content_id")).alias("scope"), F.lit(False).alias("page"), "text")
+    directory = F.regexp_extract(F.coalesce("file_path", F.lit("")), "^(.*)/[^/]*$", 1)
+    b = table(spark, sf_dir, "image_results").select(F.lit("image_results").alias("source_table"), F.col("image_id").alias("record_id"), F.concat(F.lit("scan:"), directory).alias("scope"), F.lit(True).alias("page"), F.col("extracted_text").alias("text"))
+    return a.unionByName(b)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scanned import noise
+
+    return noise(_scanned_texts(spark, sf_dir))
+
+
+def p3_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scanned import reflowed
+
+    return reflowed(_scanned_texts(spark, sf_dir))
+
+
 def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     extracted = table(spark, sf_dir, "extracted").select(F.lit("extracted").alias("source_table"), F.col("content_id").alias("record_id"), "text")
     return extracted.unionByName(table(spark, sf_dir, "findings").select(F.lit("findings").alias("source_table"), F.col("finding_id").alias("record_id"), F.col("context").alias("text")))
@@ -99,7 +119,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_repetition(spark, sf_dir).where("share >= 0.4").select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p4_found, p4_redacted, p5_found, p5_repaired, p6_found, p7_ids, p8_found, p8_aligned, p9_found, p9_repetition)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p3_found, p3_text, p4_found, p4_redacted, p5_found, p5_repaired, p6_found, p7_ids, p8_found, p8_aligned, p9_found, p9_repetition)}
 
 ORACLE: dict[str, str] = {
     "p6_found": """
