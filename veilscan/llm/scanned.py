@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import written
 
 #: What scanning makes of letters, several signs for one first (fixed values).
-GROUPS = [("rn", "m"), ("nn", "m"), ("ii", "u"), ("li", "h"), ("cl", "d"), ("ьl", "ы"), ("ьi", "ы"), ("гі", "п"), ("jl", "л")]
+GROUPS = [("vv", "w"), ("rn", "m"), ("nn", "m"), ("ii", "u"), ("li", "h"), ("cl", "d"), ("ьl", "ы"), ("ьi", "ы"), ("гі", "п"), ("jl", "л")]
 SINGLE_RU = {ord("8"): "в", ord("6"): "б", ord("0"): "о", ord("3"): "з", ord("m"): "т", ord("q"): "д", ord("и"): "н"}
 SINGLE_LAT = {ord("8"): "b", ord("6"): "b", ord("0"): "o", ord("1"): "l", ord("!"): "l", ord("|"): "l", ord("i"): "l", ord("5"): "s", ord("9"): "g", ord("c"): "e", ord("f"): "t"}
 CYRILLIC = re.compile("[Ѐ-ӿ]")
@@ -76,7 +76,7 @@ def look(lines: list[str]) -> list[tuple[str | None, bool]]:
                     break
         key = None
         if 4 <= len(title) <= 70 and title[-1] not in ".!?,;:" and not BULLET.match(title) and len(re.findall(r"\d+", title)) <= 1 and not (title[0].islower()) and len(re.findall(r"[^\W\d_]{2,}", title)) >= 2:
-            key = re.sub(r"\d+", "9", " ".join(skeleton(t) if not t.isdigit() else t for t in re.findall(r"\w+|[^\w\s]", title)))
+            key = re.sub(r"\d+", "9", " ".join(skeleton(t) if not t.isdigit() else t for t in re.findall(r"[\w!|]+|[^\w\s]", title)))
         out.append((key, numbered))
     return out
 
@@ -96,6 +96,26 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 LINES = "source_table string, record_id long, scope string, line_no int, line string, title string, numbered boolean"
 
 
+def _breaks(text: str) -> Iterator[tuple[str, str, str]]:
+    """(left, sign, right) of words that go on in a later line, also where a page ends in between."""
+    if not any(sign + "\n" in text or sign + " \n" in text or sign + "\r" in text or sign + "\x0c" in text for sign in SIGNS):
+        return
+    lines = re.split(r"\r\n|[\n\x0c\r]", text)
+    seen = None
+    for k, line in enumerate(lines[:-1]):
+        m = re.search(rf"([^\W\d_]+)([{SIGNS}])\s*$", line)
+        if not m:
+            continue
+        after = k + 1
+        if not re.match(r"\s*[^\W\d_]", lines[after]) or not lines[after].lstrip()[0].islower():
+            seen = seen or look(lines)
+            while after < min(k + 5, len(lines)) and (seen[after][0] or seen[after][1] or not lines[after].strip()):
+                after += 1
+        n = re.match(r"\s*([^\W\d_]+)", lines[after]) if after < len(lines) else None
+        if n and n[1][0].islower():
+            yield m[1], m[2], n[1]
+
+
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Words of each text with skeleton and the word before (kind t), and words split over a line end (kind h): those as
     joined word, with the hyphenated form in skel and the sign in before."""
@@ -103,9 +123,7 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for table, i, text in zip(batch["source_table"], batch["record_id"], batch["text"]):
             seen = set()
-            for left, sign, right in BREAK.findall(text):
-                if right[0].islower():
-                    rows.append((table, i, "h", (left + right).lower(), f"{left}-{right}".lower(), sign))
+            rows += [(table, i, "h", (left + right).lower(), f"{left}-{right}".lower(), sign) for left, sign, right in _breaks(text)]
             whole = BREAK.sub(lambda m: m[1] + ("" if m[3][0].islower() else "-") + m[3], MAILBOX.sub(" ", text))
             before = ""
             for w in TOKEN.findall(whole):
