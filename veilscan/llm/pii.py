@@ -101,7 +101,7 @@ EMAIL = re.compile(r"(?<![\w.+\-@/:])[^\W_][\w.+\-']*@[A-Za-z0-9](?:[A-Za-z0-9\-
 NO_MAILBOX = re.compile(r"^(?:git|svn|hg|ssh)@", re.I)
 
 PHONE = re.compile(
-    r"""(?x)(?<![\w@.+/\-])(?:
+    r"""(?x)(?<![\w@.+/\-])(?<!\d[ ])(?:
       \+1[ .\-]?\(?[2-9]\d{2}\)?[ .\-]?\d{3}[ .\-]?\d{4} | \+?1[ .\-]\(?[2-9]\d{2}\)?[ .\-]\d{3}[ .\-]\d{4}
     | \([2-9]\d{2}\)[ ]?\d{3}[ .\-]\d{4} | [2-9]\d{2}([ .\-])\d{3}\1\d{4}
     | (?:\+7|\b8)[ \-]?\(?\d{3}\)?[ \-]?\d{3}[ \-]\d{2}[ \-]?\d{2} | \+7\d{10}

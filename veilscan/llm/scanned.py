@@ -156,7 +156,8 @@ def misread_words(tokens: DataFrame) -> DataFrame:
     forms = t.groupBy("skel", "word").agg(F.count("*").alias("n"))
     heads = forms.where(~_odd(F.col("word"))).groupBy("skel").agg(F.max_by("word", F.struct("n", "word")).alias("meant"), F.max("n").alias("top"))
     pairs = forms.join(heads, "skel").where((F.col("word") != F.col("meant")) & (F.col("top") >= LEAST))
-    odd = _odd(F.col("word")) & ~F.col("word").rlike(r"^[0-9]") & (F.col("top") >= F.col("n"))
+    # 1st and 3rd are words; a longer one that begins with a digit is none
+    odd = _odd(F.col("word")) & (~F.col("word").rlike(r"^[0-9]") | (F.length("word") >= 5)) & (F.col("top") >= F.col("n"))
     clear = F.col("top") >= F.col("n") * RATIO
     # both t and f begin names that differ in nothing else
     first = F.substring("word", 1, 1) == F.substring("meant", 1, 1)
