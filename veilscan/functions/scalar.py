@@ -11,15 +11,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def entropy(s: Column) -> Column:
-    """Entropy over code points with the byte length as denominator; 0 below 8 bytes. Null gives null."""
-    signs = F.split(s, "")
-    size = F.octet_length(s).cast("double")
+    """Entropy over code points with the byte length as denominator; 0 below 8 bytes. Null gives null.
+
+    A sign is counted by the bytes that are gone when it is replaced, once per distinct sign.
+    """
+    size = F.octet_length(s)
 
     def add(total: Column, sign: Column) -> Column:
-        p = F.size(F.filter(signs, lambda x: x == sign)) / size
+        count = (size - F.octet_length(F.replace(s, sign, F.lit("")))) / F.octet_length(sign)
+        p = count / size
         return total - p * F.log2(p)
 
-    return F.when(F.octet_length(s) < 8, F.lit(0.0)).otherwise(F.aggregate(F.array_distinct(signs), F.lit(0.0), add))
+    return F.when(size < 8, F.lit(0.0)).otherwise(F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), add))
 
 
 def entropy_level(e: Column) -> Column:

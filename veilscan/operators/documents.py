@@ -11,25 +11,26 @@ from ..functions.dictionaries import DOCUMENT_DETECTORS
 from ..functions.rules import to_java
 
 
-def detected(text: Column) -> Column:
-    """array<struct(document_type, type_label, risk_level, confidence, indicators)>, in the order of the detectors.
+def classify(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, document_type, type_label, risk_level, confidence, indicators): one row per text and type that its confidence
+    reaches, in the order of the detectors. Null and empty texts have none.
 
-    Confidences add up in double precision in the order listed, and are capped at 1.
+    Every pattern runs once per text; confidences add up in double precision in the order listed, and are capped at 1.
     """
+    low, text = F.lower("t"), F.col("t")
+    hits = {
+        f"h{k}_{j}": (low if where == "lower" else text).rlike(to_java(pattern))
+        for k, (*_, parts) in enumerate(DOCUMENT_DETECTORS)
+        for j, (_, where, pattern, _) in enumerate(parts)
+    }
+    seen = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("t")).select(id_col, *[c.alias(n) for n, c in hits.items()])
     found = []
-    low = F.lower(text)
-    for name, label, risk, threshold, parts in DOCUMENT_DETECTORS:
-        hits = [((low if where == "lower" else text).rlike(to_java(pattern)), weight, said) for weight, where, pattern, said in parts]
-        confidence = reduce(lambda total, h: F.when(h[0], total + F.lit(h[1])).otherwise(total), hits, F.lit(0.0))
-        indicators = F.array_compact(F.array(*[F.when(hit, said) for hit, _, said in hits]))
+    for k, (name, label, risk, threshold, parts) in enumerate(DOCUMENT_DETECTORS):
+        confidence = reduce(lambda a, b: a + b, [F.when(F.col(f"h{k}_{j}"), F.lit(weight)).otherwise(F.lit(0.0)) for j, (weight, *_) in enumerate(parts)])
+        indicators = F.array_compact(F.array(*[F.when(F.col(f"h{k}_{j}"), said) for j, (*_, said) in enumerate(parts)]))
         row = F.struct(F.lit(name).alias("document_type"), F.lit(label).alias("type_label"), F.lit(risk).alias("risk_level"), F.least(F.lit(1.0), confidence).alias("confidence"), indicators.alias("indicators"))
         found.append(F.when(confidence >= threshold, row))
-    return F.array_compact(F.array(*found))
-
-
-def classify(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per text and document type that its confidence reaches. Null and empty texts have none."""
-    return texts.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.inline(detected(F.col(text_col))))
+    return seen.select(id_col, F.inline(F.array_compact(F.array(*found))))
 
 
 def image_shape(width: Column, height: Column) -> Column:

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.rules import RULES, Rule
 from ..functions.scalar import entropy, risk_score
 
-#: Any rule needs one of these in the line (fixed values); a cheap look before 18 patterns run.
-HINT = r"(?iu)[pK]assword|api.?[kK]ey|to[kK]en|begin|akia|gh[pousrſ]_|@|[0-9]{2}|passport|[A-Z]{6}|export|[sſ]ecret|_[kK]ey|connection_|databa[sſ]e_url|db_conn|pa[sſ]{2}"
+#: What a line must hold for a rule to match (fixed values): strings in the line, strings in the line in lower case, or a
+#: cheap pattern. The long s folds to s and is no lower-case letter of it, so lines with it are always looked at.
+HINTS: dict[str, tuple[str, list[str]]] = {
+    "password": ("lower", ["password"]), "api_key": ("lower", ["api"]), "token": ("lower", ["token"]), "private_key": ("plain", ["-----BEGIN"]), "aws_key": ("plain", ["AKIA"]), "github_token": ("plain", ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"]),
+    "email": ("plain", ["@"]), "phone_number": ("pattern", ["[0-9]{4}"]), "ssn": ("pattern", ["[0-9]-[0-9]{2}-[0-9]"]), "passport": ("lower", ["passport"]), "credit_card": ("pattern", ["[0-9]{13}"]), "iban": ("pattern", ["[A-Z]{2}[0-9]{2}"]), "bic": ("pattern", ["[A-Z]{6}"]),
+    "env_var": ("lower", ["export"]), "json_secret": ("lower", ["_key", "password", "secret", "token"]), "yaml_secret": ("lower", ["_key", "password", "secret"]), "connection_string": ("lower", ["connection_string", "database_url", "db_connection"]), "hardcoded_secret": ("lower", ["secret"]),
+}
 MAX_LINE = 65536
 
 
@@ -30,22 +35,31 @@ def too_long_lines(text: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.split(text, "\n", -1), lambda x: F.octet_length(x))) >= MAX_LINE, F.lit(False))
 
 
-def _found(line: Column, rules: list[Rule]) -> Column:
+def _may_match(rule: Rule, line: Column, low: Column) -> Column:
+    kind, words = HINTS.get(rule.type, ("pattern", [""]))
+    if kind == "pattern":
+        return line.rlike(words[0])
+    hits = [F.contains(low if kind == "lower" else line, F.lit(w)) for w in words]
+    return reduce(lambda a, b: a | b, hits + ([F.contains(line, F.lit("ſ"))] if kind == "lower" else []))
+
+
+def _found(rules: list[Rule]) -> Column:
+    """Per line the rules with a match, each with its matches; a rule's pattern runs only where its hint holds."""
+    line, low = F.col("line"), F.col("low")
     per_rule = [
-        F.struct(
-            F.lit(r.ordinal).alias("ordinal"), F.lit(r.type).alias("pattern_type"), F.lit(r.severity).alias("severity"), F.lit(r.description).alias("description"),
-            F.regexp_extract_all(line, F.lit(r.java), F.lit(0)).alias("m"), F.lit(r.java).alias("java"),
+        F.when(
+            _may_match(r, line, low),
+            F.struct(F.lit(r.ordinal).alias("ordinal"), F.lit(r.type).alias("pattern_type"), F.lit(r.severity).alias("severity"), F.lit(r.description).alias("description"), F.regexp_extract_all(line, F.lit(r.java), F.lit(0)).alias("m")),
         )
         for r in rules
     ]
-    return F.filter(F.array(*per_rule), lambda x: F.size(x["m"]) > 0)
+    return F.array_compact(F.array(*per_rule))
 
 
 def matches(lines_: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """(id, line_number, line, ordinal, pattern_type, severity, description, matched_text, column_start, column_end):
     every match of every rule; offsets count bytes, the end is exclusive."""
-    hit = lines_.where(F.col("line").rlike(HINT)) if rules is RULES else lines_
-    per_rule = hit.select("id", "line_number", "line", F.inline(_found(F.col("line"), rules)))
+    per_rule = lines_.withColumn("low", F.lower("line")).select("id", "line_number", "line", F.inline(_found(rules))).where(F.size("m") > 0)
     # only lines with a match are cut again, for the bytes between matches
     gaps = reduce(lambda c, r: c.when(F.col("ordinal") == r.ordinal, F.split("line", r.java, -1)), rules[1:], F.when(F.col("ordinal") == rules[0].ordinal, F.split("line", rules[0].java, -1)))
     placed = per_rule.withColumn("gaps", gaps).select("*", F.posexplode("m").alias("k", "matched_text"))

@@ -14,7 +14,7 @@ from ..functions import dictionaries as d
 from ..functions import scalar as x
 from ..functions.rules import RULES
 from ..operators import documents, ignore, image, mrz, scan, stats
-from ..session import table
+from ..session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,22 +95,25 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.cleaned(table(spark, sf_dir, "findings"))
 
 
+_TEXTS = {"documents": ["doc_id", "text"], "extracted": ["content_id", "text"], "image_results": ["image_id", "extracted_text"]}
+
+
 # ------------------------------------------------------------------------------------------------ scanning
 
 
 @query(findings_sql("documents", "doc_id", "text"))
 def findings_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.findings(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("entropy_score", F.round("entropy_score", 6))
+    return scan.findings(spread(table(spark, sf_dir, "documents").select(*_TEXTS["documents"])), "doc_id", "text").withColumn("entropy_score", F.round("entropy_score", 6))
 
 
 @query(findings_sql("extracted", "content_id", "text"))
 def findings_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.findings(table(spark, sf_dir, "extracted"), "content_id", "text").withColumn("entropy_score", F.round("entropy_score", 6))
+    return scan.findings(spread(table(spark, sf_dir, "extracted").select(*_TEXTS["extracted"])), "content_id", "text").withColumn("entropy_score", F.round("entropy_score", 6))
 
 
 @query(findings_sql("image_results", "image_id", "extracted_text"))
 def findings_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.findings(table(spark, sf_dir, "image_results"), "image_id", "extracted_text").withColumn("entropy_score", F.round("entropy_score", 6))
+    return scan.findings(spread(table(spark, sf_dir, "image_results").select(*_TEXTS["image_results"])), "image_id", "extracted_text").withColumn("entropy_score", F.round("entropy_score", 6))
 
 
 #: One line per rule at least, and lines where RE2 and Java differ.
@@ -150,7 +153,7 @@ def rule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT finding_id, {entropy_sql('matched_text')} AS entropy, CASE WHEN {entropy_sql('matched_text')} >= 5.5 THEN 'very_high' WHEN {entropy_sql('matched_text')} >= 4.5 THEN 'high' WHEN {entropy_sql('matched_text')} >= 3.5 THEN 'medium' ELSE 'low' END AS level FROM findings WHERE matched_text IS NOT NULL")
 def entropy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "findings").where("matched_text IS NOT NULL").withColumn("entropy", F.round(x.entropy(F.col("matched_text")), 6))
+    f = spread(table(spark, sf_dir, "findings").where("matched_text IS NOT NULL").select("finding_id", "matched_text")).withColumn("entropy", F.round(x.entropy(F.col("matched_text")), 6))
     return f.select("finding_id", "entropy", x.entropy_level(F.col("entropy")).alias("level"))
 
 
@@ -161,7 +164,7 @@ def high_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT finding_id, {risk_sql('lower(trim(severity))', 'matched_text', 'context', 'e')} AS risk FROM (SELECT *, {entropy_sql('matched_text')} AS e FROM findings WHERE matched_text IS NOT NULL AND context IS NOT NULL)")
 def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "findings").where("matched_text IS NOT NULL AND context IS NOT NULL")
+    f = spread(table(spark, sf_dir, "findings").where("matched_text IS NOT NULL AND context IS NOT NULL").select("finding_id", "severity", "matched_text", "context"))
     return f.select("finding_id", x.risk_score(x.severity_name(F.col("severity")), F.col("matched_text"), F.col("context"), F.round(x.entropy(F.col("matched_text")), 6)).alias("risk"))
 
 
@@ -370,7 +373,7 @@ def classify_sql(source: str, id_col: str, text_col: str) -> str:
 
 
 def _classified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return documents.classify(df, id_col, text_col)
+    return documents.classify(spread(df.select(id_col, text_col)), id_col, text_col)
 
 
 @query(classify_sql("documents", "doc_id", "text"))
@@ -417,7 +420,7 @@ def date_name_code_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def image_final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image.judged(table(spark, sf_dir, "image_results"), "image_id", "image_width", "image_height", "extracted_text")
+    return image.judged(spread(table(spark, sf_dir, "image_results").select("image_id", "image_width", "image_height", "extracted_text")), "image_id", "image_width", "image_height", "extracted_text")
 
 
 @query("""WITH c AS (SELECT mrz_id, raw_lines[2] AS l FROM parsed_mrz WHERE len(raw_lines) >= 2 AND strlen(raw_lines[1]) = 44 AND strlen(raw_lines[2]) = 44),
@@ -436,6 +439,14 @@ def mrz_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("mrz_id", F.inline(F.array(*[F.struct(F.lit(n).alias("field"), mrz.check_digit_fits(a, b).alias("fits")) for n, a, b in parts])))
 
 
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.scanner import windowed_rates
+
+    rates = windowed_rates(table(spark, sf_dir, "events"), "ts", "event_type")
+    return rates.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query()
 def mrz_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = table(spark, sf_dir, "parsed_mrz").select("mrz_id", F.array_join("raw_lines", "\n").alias("text"))

@@ -40,5 +40,12 @@ def written(df: DataFrame, label: str, partitions: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the input has fewer partitions than cores, as one small file has; else as it is, so
+    that tables of many files are never shuffled. For work that is heavy per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
