@@ -7,19 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find
 
-    return find(table(spark, sf_dir, "findings"), "finding_id", "context", "matched_text").select("finding_id", "secret").distinct()
+    return find(spread(table(spark, sf_dir, "findings").select("finding_id", "context", "matched_text")), "finding_id", "context", "matched_text").select("finding_id", "secret").distinct()
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import redact
 
-    return redact(table(spark, sf_dir, "findings"), "finding_id", "context", "matched_text").where("n_secrets > 0")
+    return redact(spread(table(spark, sf_dir, "findings").select("finding_id", "context", "matched_text")), "finding_id", "context", "matched_text").where("n_secrets > 0")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def _scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "extracted").select(F.lit("extracted").alias("source_table"), F.col("content_id").alias("record_id"), F.concat(F.lit("text:"), F.col("content_id")).alias("scope"), F.lit(False).alias("page"), "text")
     directory = F.regexp_extract(F.coalesce("file_path", F.lit("")), "^(.*)/[^/]*$", 1)
     b = table(spark, sf_dir, "image_results").select(F.lit("image_results").alias("source_table"), F.col("image_id").alias("record_id"), F.concat(F.lit("scan:"), directory).alias("scope"), F.lit(True).alias("page"), F.col("extracted_text").alias("text"))
-    return a.unionByName(b)
+    return spread(a.unionByName(b))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def p3_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     extracted = table(spark, sf_dir, "extracted").select(F.lit("extracted").alias("source_table"), F.col("content_id").alias("record_id"), "text")
-    return extracted.unionByName(table(spark, sf_dir, "findings").select(F.lit("findings").alias("source_table"), F.col("finding_id").alias("record_id"), F.col("context").alias("text")))
+    return spread(extracted.unionByName(table(spark, sf_dir, "findings").select(F.lit("findings").alias("source_table"), F.col("finding_id").alias("record_id"), F.col("context").alias("text"))))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def _decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ending = F.regexp_extract(F.lower("file_path"), r"\.([a-z0-9]{1,10})(?: \([^()]*\))?\s*$", 1)
     a = extracted.select(F.struct(F.lit("extracted").alias("source_table"), F.col("content_id").alias("record_id")).alias("id"), F.concat(F.lit("text/"), F.lower("file_format")).alias("pool"), "text")
     b = findings.select(F.struct(F.lit("findings").alias("source_table"), F.col("finding_id").alias("record_id")).alias("id"), F.concat(F.lit("context/"), ending).alias("pool"), F.col("context").alias("text"))
-    return a.unionByName(b).select(F.to_json("id").alias("id"), "pool", "text")
+    return spread(a.unionByName(b)).select(F.to_json("id").alias("id"), "pool", "text")
 
 
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +96,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenize import encode
 
-    return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p8_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .leakage import leaks
 
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repetition import repetition
 
-    return repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return repetition(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
