@@ -43,6 +43,14 @@ def test_credentials(spark):
     assert [r["secret"] for r in secrets.find(both.where("id = 100"), "id", "text", "other").collect()] == ["Zx9!kkWq"]
 
 
+def test_matched_text_alone():
+    told = {"'Raven!5119x'": "Raven!5119x", "-pR4v3nz3phyr75": "R4v3nz3phyr75", "token hlb-LYWrVMVgKHa3ekGe0hWzeMDjl": "hlb-LYWrVMVgKHa3ekGe0hWzeMDjl", "password>jsFB2Cg8fr": "jsFB2Cg8fr", "appuser:sltag6": "sltag6", "onyx-elder-dapple-24": "onyx-elder-dapple-24"}
+    for text, secret in told.items():
+        a, b, _ = secrets.alone(text)
+        assert text[a:b] == secret
+    assert not any(map(secrets.alone, ["911dfb85d62f7dfd951eb0d09eacbda48518c376", "KX1525142514", "a.b@host.test", "77-2326", "@timber.cached", "$ACCESS_TOKEN", "HMBYIELI", "4000003470453983", "", "password: str)"]))
+
+
 def test_chunks_overlap():
     a = secrets.Automaton()
     text = " " * (secrets.CHUNK - 3) + "password=Harbor!3922"

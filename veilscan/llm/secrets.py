@@ -262,6 +262,24 @@ def credentials(automaton: Automaton, text: str) -> list[tuple[int, int, str]]:
     return sorted(spans)
 
 
+def alone(text: str) -> tuple[int, int, str] | None:
+    """The credential that a matched text is, where the line it came from is not known: no name tells it, only its form."""
+    m = re.fullmatch(r"(?i)(?:token|bearer|basic)\s+(?P<v>[A-Za-z0-9_\-.+/=]{16,})|<?password>(?P<v2>[^\s<>]{5,})(?:</\w*>?)?|[a-z][\w\-]*:(?P<v3>(?=\S*\d)[^\s:/()]{6,24})", text)
+    if m:
+        k = next(k for k, v in m.groupdict().items() if v)
+        return (m.start(k), m.end(k), "token" if k == "v" else "password") if usable(m[k], True) else None
+    m = re.fullmatch(r"""\s*(?:-p)?["'`]?(?P<v>[^\s"'`:=(){}<>/,;]{8,56}|[A-Za-z0-9+/]{40})["'`]?\s*""", text)
+    if not m:
+        return None
+    v = m["v"]
+    if PLACEHOLDER.search(v) or REFERENCE.search(v) or re.fullmatch(r"[0-9a-fA-F\-]+|[A-Z0-9]+|[\d\W_]+", v) or re.search(r"@[\w\-]*\.[a-z]{2,}|^@|\.[a-z]{2,4}$", v):
+        return None
+    password = len(v) <= 24 and re.search(r"[a-z]", v) and re.search(r"\d", v) and (re.search(r"[!@#$%^&*~+]", v) or re.fullmatch(r"[a-z]+(?:-[a-z]+){2,}-\d+", v) or re.fullmatch(r"[A-Z]?[a-z0-9]{8,}", v) and len(re.findall("[a-z]", v)) >= 5)
+    if password or random_looking(v):
+        return m.start("v"), m.end("v"), "password" if password else "token"
+    return None
+
+
 _automaton: list[Automaton] = []
 
 
@@ -271,6 +289,12 @@ def _shared() -> Automaton:
     return _automaton[0]
 
 
+def _all(automaton: Automaton, text: str, bare: bool) -> list[tuple[int, int, str]]:
+    spans = credentials(automaton, text)
+    lone = alone(text) if bare and not spans else None
+    return [lone] if lone else spans
+
+
 def find(df: DataFrame, id_col: str, text_col: str, fallback_col: str | None = None) -> DataFrame:
     """(id, start, end, kind, secret): every credential in the text, or in the fallback column where the text is null.
 
@@ -282,11 +306,11 @@ def find(df: DataFrame, id_col: str, text_col: str, fallback_col: str | None = N
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = _shared()
         for batch in batches:
-            rows = [(i, a, b, kind, t[a:b]) for i, t in zip(batch["id"], batch["text"]) if t for a, b, kind in credentials(automaton, t)]
+            rows = [(i, a, b, kind, t[a:b]) for i, t, bare in zip(batch["id"], batch["text"], batch["bare"]) if t for a, b, kind in _all(automaton, t, bare)]
             yield pd.DataFrame(rows, columns=["id", "start", "end", "kind", "secret"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), source.alias("text")).mapInPandas(run, f"id {kind}, start int, end int, kind string, secret string").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), source.alias("text"), F.col(text_col).isNull().alias("bare")).mapInPandas(run, f"id {kind}, start int, end int, kind string, secret string").withColumnRenamed("id", id_col)
 
 
 def redact(df: DataFrame, id_col: str, text_col: str, fallback_col: str | None = None) -> DataFrame:
@@ -297,8 +321,8 @@ def redact(df: DataFrame, id_col: str, text_col: str, fallback_col: str | None =
         automaton = _shared()
         for batch in batches:
             out, counts = [], []
-            for t in batch["text"]:
-                spans = credentials(automaton, t) if t else []
+            for t, bare in zip(batch["text"], batch["bare"]):
+                spans = _all(automaton, t, bare) if t else []
                 for a, b, kind in reversed(spans):
                     t = f"{t[:a]}[{kind}]{t[b:]}"
                 out.append(t)
@@ -306,4 +330,4 @@ def redact(df: DataFrame, id_col: str, text_col: str, fallback_col: str | None =
             yield pd.DataFrame({"id": batch["id"], "redacted": out, "n_secrets": counts})
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), source.alias("text")).mapInPandas(run, f"id {kind}, redacted string, n_secrets int").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), source.alias("text"), F.col(text_col).isNull().alias("bare")).mapInPandas(run, f"id {kind}, redacted string, n_secrets int").withColumnRenamed("id", id_col)
