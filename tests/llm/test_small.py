@@ -129,7 +129,7 @@ PERSONAL = [
     ("ring (364) 555-0186 or 8-949-000-15-70", [("phone", "(364) 555-0186"), ("phone", "8-949-000-15-70")]), ("call +33 1 99 00 63 51.", [("phone", "+33 1 99 00 63 51")]), ("order_no=1715969956 card 4000 0031 1124 1124 host 10.0.12.12", []),
     ("his SSN 235-07-5349 is", [("identity_number", "235-07-5349")]), ("part 114-77-2793 in stock", []), ("s0cial secur-\nity number 274650530", [("identity_number", "274650530")]), ("паспорт серия и номер 78 35 005414", [("identity_number", "78 35 005414")]),
     ("lives at 53 Old Gorra Avenue.", [("street_address", "53 Old Gorra Avenue")]), ("адрес: пер. Горсалия, дом 61.", [("street_address", "пер. Горсалия, дом 61")]), ("vive en calle Lunmere 210.", [("street_address", "calle Lunmere 210")]), ("wohnhaft Veldothweg 117.", [("street_address", "Veldothweg 117")]),
-    ("Dear Dalviel Moralund, hello", [("name", "Dalviel Moralund")]), ("MORLUND Dalviel moved to town", [("name", "MORLUND Dalviel")]), ("Signed: Belberg, Dalviel", [("name", "Belberg, Dalviel")]), ("Kestrel Harbor and North Quarry, team Orluford", []),
+    ("Dear Dalviel Moralund, hello", [("name", "Dalviel Moralund")]), ("MORLUND Dalviel moved to town", [("name", "MORLUND Dalviel")]), ("Signed: Belberg, Dalviel", [("name", "Belberg, Dalviel")]), ("Name: Belberg, Marnam; e-mail", [("name", "Belberg, Marnam")]), ("Kestrel Harbor and North Quarry, team Orluford", []),
 ]
 
 
