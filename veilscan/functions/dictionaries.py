@@ -124,3 +124,14 @@ RECOMMENDATIONS = {
     "any": ["📋 Добавьте pre-commit хук для автоматической проверки секретов", "🛡️ Настройте .gitignore для исключения файлов с секретами", "📝 Обновите .env.example с примерами переменных (без реальных значений)"],
     "again": "🔄 После исправлений выполните повторное сканирование для проверки",
 }
+
+IMAGE_WARNINGS = {
+    "leak": "⚠️ Высокий риск утечки персональных данных",
+    "identity": "⚠️ Документ содержит идентифицирующую информацию",
+    "passport": "⚠️ Паспортные данные могут быть использованы для мошенничества",
+}
+IMAGE_DATA = {
+    "passport": ["📋 ФИО владельца", "📅 Дата рождения", "🔢 Номер документа", "📸 Фотография"],
+    "card": ["📋 Персональные данные", "📸 Фотография", "🔢 Номер документа"],
+    "other": ["📋 Персональные данные"],
+}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dictionaries as d
+from ..functions.scalar import page_number, risk_label
 
 
 def quality(width: Column, height: Column) -> Column:
@@ -83,14 +84,14 @@ def barcode_signal(text: Column) -> Column:
     return F.coalesce(score, F.lit(0.0))
 
 
-def judged(images: DataFrame, id_col: str, width: str, height: str, text_col: str) -> DataFrame:
-    """One row per image: signals, final score, confidence, whether it is a document, and its type.
+def judged(images: DataFrame, id_col: str, width: str, height: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per image: signals, final score, confidence, whether it is a document, its type, and the columns to keep.
 
     No pixels are read: rotations by 90 degrees only swap the sides, and every shape is compared with its inverse.
     Null texts have no text signals. The face signal is never computed.
     """
     w, h, t = F.col(width), F.col(height), F.col(text_col)
-    s = images.select(id_col, quality(w, h).alias("q"), geometry(w, h).alias("g"), mrz_signal(t).alias("m"), keyword_signal(t).alias("k"), keyword_type(t).alias("kt"), structure_signal(t).alias("s"), barcode_signal(t).alias("b"))
+    s = images.select(id_col, *keep, quality(w, h).alias("q"), geometry(w, h).alias("g"), mrz_signal(t).alias("m"), keyword_signal(t).alias("k"), keyword_type(t).alias("kt"), structure_signal(t).alias("s"), barcode_signal(t).alias("b"))
     parts = {"mrz": F.col("m.mrz_score") / 70 * 100, "keywords": F.col("k.keyword_score") / 30 * 100, "barcode": F.col("b") / 20 * 100, "geometry": F.col("g.geometry_score") / 15 * 100, "structure": F.col("s.structure_score") / 20 * 100, "quality": F.col("q.quality_score") / 10 * 100}
 
     def weighed(weights: dict[str, float]) -> Column:
@@ -103,6 +104,27 @@ def judged(images: DataFrame, id_col: str, width: str, height: str, text_col: st
     confidence = F.when(photo, "Нет").when((F.col("final_score") >= 65) & told, "Высокая").when((F.col("final_score") >= 40) & told, "Средняя").when(F.col("final_score") >= 25, "Низкая").otherwise("Нет")
     kind = F.when(photo, "passport_photo").when(F.col("m.mrz_parsed"), "passport").otherwise(F.coalesce("g.document_type", "kt", F.when(F.col("is_document"), "unknown_document")))
     return out.select(
-        id_col, F.col("q.quality_score").alias("quality_score"), F.col("g.geometry_score").alias("geometry_score"), F.col("m.mrz_score").alias("mrz_score"), F.col("k.keyword_score").alias("keyword_score"), F.col("k.keywords_found").alias("keywords_found"),
+        id_col, *keep, F.col("q.quality_score").alias("quality_score"), F.col("g.geometry_score").alias("geometry_score"), F.col("m.mrz_score").alias("mrz_score"), F.col("k.keyword_score").alias("keyword_score"), F.col("k.keywords_found").alias("keywords_found"),
         F.col("s.structure_score").alias("structure_score"), F.col("b").alias("barcode_score"), F.round("final_score", 4).alias("final_score"), confidence.alias("confidence"), "is_document", kind.alias("document_type"),
     )
+
+
+def warnings(kind: Column, risk: Column) -> Column:
+    return F.array_compact(F.array(F.when(risk >= 80, d.IMAGE_WARNINGS["leak"]), F.when(risk >= 60, d.IMAGE_WARNINGS["identity"]), F.when(F.contains(kind, F.lit("passport")), d.IMAGE_WARNINGS["passport"])))
+
+
+def data_found(kind: Column) -> Column:
+    """What such a document holds about its owner."""
+    words = {k: F.array(*map(F.lit, v)) for k, v in d.IMAGE_DATA.items()}
+    return F.when(F.contains(kind, F.lit("passport")), words["passport"]).when(F.contains(kind, F.lit("id_card")) | F.contains(kind, F.lit("driver")), words["card"]).otherwise(words["other"])
+
+
+def document_findings(judged_images: DataFrame, id_col: str, path: Column) -> DataFrame:
+    """A critical finding per image that is a document: its page is the line, its type the matched text, its score the risk."""
+    kind = F.col("document_type")
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in d.IMAGE_TYPE_RU.items() for x in kv]), kind), F.lit(d.IMAGE_TYPE_DEFAULT))
+    risk = F.col("final_score")
+    return judged_images.where("is_document").select(
+        id_col, path.alias("file_path"), page_number(path).alias("line_number"), F.lit("passport").alias("pattern_type"), F.lit("critical").alias("severity"), label.alias("description"), kind.alias("matched_text"), risk.alias("risk_score"),
+        risk_label(risk).alias("risk_level"), warnings(kind, risk).alias("warnings"), data_found(kind).alias("data_found"),
+    )

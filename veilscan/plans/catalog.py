@@ -423,6 +423,35 @@ def image_final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image.judged(spread(table(spark, sf_dir, "image_results").select("image_id", "image_width", "image_height", "extracted_text")), "image_id", "image_width", "image_height", "extracted_text")
 
 
+@query()
+def image_document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = spread(table(spark, sf_dir, "image_results").select("image_id", "file_path", "image_width", "image_height", "extracted_text"))
+    found = image.judged(images, "image_id", "image_width", "image_height", "extracted_text", keep=("file_path",))
+    return image.document_findings(found, "image_id", F.col("file_path"))
+
+
+@query(f"""SELECT image_id, CASE WHEN final_score >= 80 THEN 'critical' WHEN final_score >= 60 THEN 'high' WHEN final_score >= 40 THEN 'medium' ELSE 'low' END AS risk_level,
+    {case_sql('document_type', d.IMAGE_TYPE_RU, q(d.IMAGE_TYPE_DEFAULT))} AS type_label,
+    list_filter([CASE WHEN final_score >= 80 THEN {q(d.IMAGE_WARNINGS['leak'])} END, CASE WHEN final_score >= 60 THEN {q(d.IMAGE_WARNINGS['identity'])} END, CASE WHEN contains(document_type, 'passport') THEN {q(d.IMAGE_WARNINGS['passport'])} END], lambda z: z IS NOT NULL) AS warnings,
+    CASE WHEN contains(document_type, 'passport') THEN {d.IMAGE_DATA['passport']!r} WHEN contains(document_type, 'id_card') OR contains(document_type, 'driver') THEN {d.IMAGE_DATA['card']!r} ELSE {d.IMAGE_DATA['other']!r} END AS data_found
+    FROM image_results""")
+def image_risk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, score = F.col("document_type"), F.col("final_score")
+    label = F.coalesce(stats.translated(F.when(kind.isin(*d.IMAGE_TYPE_RU), kind), d.IMAGE_TYPE_RU), F.lit(d.IMAGE_TYPE_DEFAULT))
+    return table(spark, sf_dir, "image_results").select("image_id", x.risk_label(score).alias("risk_level"), label.alias("type_label"), image.warnings(kind, score).alias("warnings"), image.data_found(kind).alias("data_found"))
+
+
+@query("SELECT file_path, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem, coalesce(try_cast(string_split(regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]*$', ''), '-')[-1] AS INT), 1) AS page FROM image_results WHERE file_path IS NOT NULL")
+def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stem = F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"\.[^.]*$", "")
+    return table(spark, sf_dir, "image_results").where("file_path IS NOT NULL").select("file_path", stem.alias("stem"), x.page_number(F.col("file_path")).alias("page"))
+
+
+@query("SELECT batch_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size FROM (SELECT batch_id, total_size AS n FROM scan_batches WHERE total_size IS NOT NULL)")
+def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "scan_batches").where("total_size IS NOT NULL").select("batch_id", x.size_text(F.col("total_size")).alias("size"))
+
+
 @query("""WITH c AS (SELECT mrz_id, raw_lines[2] AS l FROM parsed_mrz WHERE len(raw_lines) >= 2 AND strlen(raw_lines[1]) = 44 AND strlen(raw_lines[2]) = 44),
     parts AS (SELECT mrz_id, unnest(['document_number', 'date_of_birth', 'expiry_date', 'personal_number', 'overall']) AS field, unnest([l[1:9], l[14:19], l[22:27], l[29:42], l[1:10] || l[14:20] || l[22:43]]) AS data, unnest([l[10], l[20], l[28], l[43], l[44]]) AS digit FROM c),
     sums AS (SELECT *, list_sum(list_transform(range(1, strlen(data) + 1), lambda i: (strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', replace(upper(data), '<', '0')[i]) - 1) * [7, 3, 1][((i - 1) % 3 + 1)::INT])) % 10 AS computed,
