@@ -145,40 +145,44 @@ def _pages(texts: DataFrame) -> DataFrame:
     return texts.select("source_table", F.col("record_id").cast("long").alias("record_id"), "scope", "page", "text").where(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
 
 
-def misread_words(tokens: DataFrame) -> DataFrame:
+def counted(tokens: DataFrame) -> DataFrame:
+    """(skel, word, before, n): how often each word follows each word; all counts of words come from this one table."""
+    return written(tokens.where("kind = 't'").groupBy("skel", "word", "before").agg(F.count("*").alias("n")), "scanned-counts")
+
+
+def misread_words(counts: DataFrame) -> DataFrame:
     """(word, meant): distinct words that are misreadings, and the form they stand for.
 
     A form with an odd sign is misread when its group has a plain form seen LEAST times. A form of letters only is misread
     when the group's frequent form is RATIO times as frequent, or SUPPORTED_RATIO times and it alone follows the word
     before. One group holds the readings of one word; groups are aggregated map-side, never gathered.
     """
-    t = tokens.where((F.col("kind") == "t") & (F.col("skel") != ""))
-    forms = t.groupBy("skel", "word").agg(F.count("*").alias("n"))
+    forms = counts.where(F.col("skel") != "").groupBy("skel", "word").agg(F.sum("n").alias("n"))
     heads = forms.where(~_odd(F.col("word"))).groupBy("skel").agg(F.max_by("word", F.struct("n", "word")).alias("meant"), F.max("n").alias("top"))
     pairs = forms.join(heads, "skel").where((F.col("word") != F.col("meant")) & (F.col("top") >= LEAST))
     # 1st and 3rd are words; a longer one that begins with a digit is none
     odd = _odd(F.col("word")) & (~F.col("word").rlike(r"^[0-9]") | (F.length("word") >= 5)) & (F.col("top") >= F.col("n"))
-    clear = F.col("top") >= F.col("n") * RATIO
-    # both t and f begin names that differ in nothing else
+    # t and f begin names that differ in nothing else
     first = F.substring("word", 1, 1) == F.substring("meant", 1, 1)
-    sure = pairs.where(odd | (clear & first)).select("word", "meant")
-    unsure = pairs.where(~odd & ~(clear & first) & (F.col("top") >= F.col("n") * SUPPORTED_RATIO) & first).select("word", "meant", "n")
-    after = t.where(F.col("before") != "").groupBy("before", "word").agg(F.count("*").alias("k"))
-    own = t.join(unsure, "word").groupBy("before", "word", "meant").agg(F.count("*").alias("k"))
-    usual = own.join(after.select("before", F.col("word").alias("meant"), F.col("k").alias("of_meant")), ["before", "meant"])
-    supported = usual.groupBy("word", "meant").agg(F.max(F.col("of_meant") / F.col("k")).alias("r")).where(F.col("r") >= RATIO).select("word", "meant")
-    return sure.unionByName(supported).distinct()
+    clear = first & (F.col("top") >= F.col("n") * RATIO)
+    pairs = written(pairs.select("word", "meant", (odd | clear).alias("sure"), (~odd & first & (F.col("top") >= F.col("n") * SUPPORTED_RATIO)).alias("likely")).where("sure OR likely"), "scanned-pairs")
+    unsure = pairs.where("NOT sure").select("word", "meant")
+    own = counts.where(F.col("before") != "").join(unsure, "word").select("before", "word", "meant", "n")
+    usual = counts.join(unsure.select(F.col("meant").alias("word")).distinct(), "word", "left_semi").select("before", F.col("word").alias("meant"), F.col("n").alias("of_meant"))
+    supported = own.join(usual, ["before", "meant"]).groupBy("word", "meant").agg(F.max(F.col("of_meant") / F.col("n")).alias("r")).where(F.col("r") >= RATIO)
+    return pairs.where("sure").select("word", "meant").unionByName(supported.select("word", "meant"))
 
 
-def split_words(tokens: DataFrame) -> DataFrame:
+def split_words(tokens: DataFrame, counts: DataFrame) -> DataFrame:
     """(source_table, record_id, word, skel): words split over a line end that are no compounds with a hyphen of their own.
 
     Signs that only stand for a break always count. A plain hyphen counts where the joined word stands elsewhere, or where
     the hyphenated form does not.
     """
     broken = tokens.where(F.col("kind") == "h").select("source_table", "record_id", "word", "skel", "before").distinct()
-    seen = tokens.where(F.col("kind") == "t").groupBy("word").agg(F.count("*").alias("n"))
     asked = broken.where(F.col("before") == "-")
+    wanted = asked.select("word").union(asked.select("skel")).distinct()
+    seen = counts.join(wanted, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
     joined = seen.withColumnRenamed("n", "n_joined")
     compound = seen.select(F.col("word").alias("skel"), F.col("n").alias("n_compound"))
     # the joined form always stands once, in this very place
@@ -192,12 +196,12 @@ def running_titles(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("title").isNotNull()).groupBy("scope", "title").agg(F.countDistinct("record_id", "line_no").alias("k"), F.countDistinct("record_id").alias("records")).where((F.col("k") >= 2) & ((F.col("records") >= 2) | F.startswith("scope", F.lit("text:")))).select("scope", "title")
 
 
-def analysed(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Written tables of the lines and of the words of (source_table, record_id, scope, page, text)."""
+def analysed(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables of the lines, the words and their counts of (source_table, record_id, scope, page, text)."""
     pages = _pages(texts)
     lines = written(pages.mapInPandas(_lines, LINES), "scanned-lines")
     tokens = written(pages.mapInPandas(_tokens, "source_table string, record_id long, kind string, word string, skel string, before string"), "scanned-words")
-    return lines, tokens
+    return lines, tokens, counted(tokens)
 
 
 def noise(texts: DataFrame) -> DataFrame:
@@ -206,27 +210,27 @@ def noise(texts: DataFrame) -> DataFrame:
     texts: source_table, record_id, scope (what the pages of one scan share), page (whether the text is one page), text.
     Null, empty and blank texts have none; repeated rows count once.
     """
-    lines, tokens = analysed(texts)
+    lines, tokens, counts = analysed(texts)
     key = ["source_table", "record_id"]
     headers = lines.join(running_titles(lines), ["scope", "title"], "left_semi").select(*key).distinct().withColumn("noise", F.lit("running_header"))
     numbers = lines.where("numbered").select(*key).distinct().withColumn("noise", F.lit("page_number"))
-    breaks = split_words(tokens).select(*key).distinct().withColumn("noise", F.lit("hyphen_break"))
-    misread = tokens.where("kind = 't'").join(misread_words(tokens), "word").select(*key).distinct().withColumn("noise", F.lit("ocr_char"))
+    breaks = split_words(tokens, counts).select(*key).distinct().withColumn("noise", F.lit("hyphen_break"))
+    misread = tokens.where("kind = 't'").join(misread_words(counts), "word").select(*key).distinct().withColumn("noise", F.lit("ocr_char"))
     return headers.unionByName(numbers).unionByName(breaks).unionByName(misread)
 
 
 def reflowed(texts: DataFrame) -> DataFrame:
     """(source_table, record_id, text): headers and page numbers gone, split words joined, misread words replaced, and the
     lines of a paragraph on one line; paragraphs stay apart by an empty line."""
-    lines, tokens = analysed(texts)
+    lines, tokens, counts = analysed(texts)
     key = ["source_table", "record_id"]
     titles = running_titles(lines).withColumn("header", F.lit(True))
     body = lines.join(titles, ["scope", "title"], "left").withColumn("gone", F.coalesce("header", F.lit(False)) | F.col("numbered"))
     order = Window.partitionBy(*key).orderBy("line_no")
     kept = body.where(~F.col("gone")).withColumn("empty", F.trim("line") == "").withColumn("paragraph", F.sum(F.col("empty").cast("int")).over(order)).where(~F.col("empty"))
     joined = kept.groupBy(*key, "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("line")))), lambda x: x["line"]), "\n").alias("text"))
-    fixes = split_words(tokens).select(*key, F.struct(F.col("skel").alias("was"), F.col("word").alias("now"), F.lit("h").alias("kind")).alias("fix"))
-    misread = tokens.where("kind = 't'").join(misread_words(tokens), "word").select(*key, F.struct(F.col("word").alias("was"), F.col("meant").alias("now"), F.lit("t").alias("kind")).alias("fix"))
+    fixes = split_words(tokens, counts).select(*key, F.struct(F.col("skel").alias("was"), F.col("word").alias("now"), F.lit("h").alias("kind")).alias("fix"))
+    misread = tokens.where("kind = 't'").join(misread_words(counts), "word").select(*key, F.struct(F.col("word").alias("was"), F.col("meant").alias("now"), F.lit("t").alias("kind")).alias("fix"))
     per_record = fixes.unionByName(misread).groupBy(*key).agg(F.collect_set("fix").alias("fixes"))  # at most the words of one text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
