@@ -4,8 +4,9 @@ A text falls into chunks that begin at a space before a visible character; such
 pre-tokenizer. Chunks not seen before are split by the tokenizer's own pattern into pieces. New pieces are grouped by
 length into padded matrices of byte ids; in each round every row merges its leftmost pair of minimum rank, found in
 an open-addressing hash table, and finished rows leave the matrix. Long pieces merge all occurrences of their minimum
-pair at once, from left to right; this gives the same ids unless the merged token has a pair that ranks before the
-token itself, and for those tokens (found when the vocabulary is loaded) they merge one occurrence a round.
+pair at once, from left to right; this gives the same ids unless a pair that ranks before the merged one comes up on the
+way. Only tokens that have such a pair (found when the vocabulary is loaded) are looked at for it, and where it does come
+up one occurrence is merged and the round repeated.
 """
 
 from __future__ import annotations
@@ -149,17 +150,27 @@ class Encoder:
         ranks = self.table.rank(row[:-1], row[1:])
         while len(ranks) and (low := ranks.min()) != NONE:
             at = np.flatnonzero(ranks == low)
-            if int(low) in self.table.early:
-                at = at[:1]
-            elif len(at) > 1:  # of a run of overlapping pairs every other one is merged, from the left
-                run = np.flatnonzero(np.diff(at, prepend=at[0] - 2) > 1)
-                start = at[run][np.cumsum(np.isin(np.arange(len(at)), run)) - 1]
-                at = at[(at - start) % 2 == 0]
+            if len(at) > 1:  # of a run of overlapping pairs every other one is merged, from the left
+                run = np.concatenate([[True], np.diff(at) > 1])
+                at = at[(at - at[run][np.cumsum(run) - 1]) % 2 == 0]
+            if len(at) > 1 and int(low) in self.table.early:
+                # a pair that ranks before this one and comes up on the way would have to be merged first
+                merged = np.zeros(len(row), bool)
+                merged[at + 1] = True
+                before = np.where(at >= 2, np.where(merged[np.maximum(at - 1, 0)], low, row[np.maximum(at - 1, 0)]), np.where(at == 1, row[0], -1))
+                after = np.where(at + 2 < len(row), row[np.minimum(at + 2, len(row) - 1)], -1)
+                new = np.full(len(at), low, np.int32)
+                if min(self.table.rank(before.astype(np.int32), new).min(), self.table.rank(new, after.astype(np.int32)).min()) < low:
+                    at = at[:1]
             row[at] = low
             keep = np.ones(len(row), bool)
             keep[at + 1] = False
+            ranks = np.append(ranks, NONE)[keep][:-1]
             row = row[keep]
-            ranks = self.table.rank(row[:-1], row[1:])
+            now = at - np.arange(len(at))  # only pairs beside a merged token are new
+            beside = np.concatenate([now, now - 1])
+            beside = beside[(beside >= 0) & (beside < len(ranks))]
+            ranks[beside] = self.table.rank(row[beside], row[beside + 1])
         return row
 
     def _encode_pieces(self, pieces: list[str]) -> dict[str, np.ndarray]:
