@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +24,7 @@ SINGLE_RU = {ord("8"): "в", ord("6"): "б", ord("0"): "о", ord("3"): "з", ord
 SINGLE_LAT = {ord("8"): "b", ord("6"): "b", ord("0"): "o", ord("1"): "l", ord("!"): "l", ord("|"): "l", ord("i"): "l", ord("5"): "s", ord("9"): "g", ord("c"): "e", ord("f"): "t"}
 CYRILLIC = re.compile("[Ѐ-ӿ]")
 TOKEN = re.compile(r"[\w!|]*[^\W\d_][\w!|]*(?:-[^\W\d_]+)*")
-MAILBOX = re.compile(r"\S*@\S*|\S*://\S*|\S+\[(?:at|dot)\]\S*")
+MAILBOX = re.compile(r"(?<!\S)\S*(?:@|://|\S\[(?:at|dot)\])\S*")
 SIGNS = "-¬‐\xad"
 BREAK = re.compile(rf"([^\W\d_]+)([{SIGNS}])[ \t]*\r?\n[ \t]*([^\W\d_]+)")
 RATIO, SUPPORTED_RATIO, LEAST = 20, 4, 4
@@ -37,6 +38,7 @@ GAP = re.compile(r"\s{3,}")
 BULLET = re.compile(r"^(?:[-*•–]|\d{1,3}[.)])\s")
 
 
+@lru_cache(maxsize=200_000)
 def skeleton(word: str) -> str:
     """One form for all look-alike readings of a word."""
     w = word.lower()
@@ -124,7 +126,7 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for table, i, text in zip(batch["source_table"], batch["record_id"], batch["text"]):
             seen = set()
             rows += [(table, i, "h", (left + right).lower(), f"{left}-{right}".lower(), sign) for left, sign, right in _breaks(text)]
-            whole = BREAK.sub(lambda m: m[1] + ("" if m[3][0].islower() else "-") + m[3], MAILBOX.sub(" ", text))
+            whole = BREAK.sub(lambda m: m[1] + ("" if m[3][0].islower() else "-") + m[3], MAILBOX.sub(" ", text) if "@" in text or "://" in text or "[at]" in text or "[dot]" in text else text)
             before = ""
             for w in TOKEN.findall(whole):
                 w = w.strip("!|_").lower()
