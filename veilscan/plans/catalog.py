@@ -367,13 +367,13 @@ def classify_sql(source: str, id_col: str, text_col: str) -> str:
     for k, (name, label, risk, threshold, rows) in enumerate(d.DOCUMENT_DETECTORS):
         hits = [f"regexp_matches({'lower(t)' if where == 'lower' else 't'}, {q(p)})" for _, where, p, _ in rows]
         total = " + ".join(f"CASE WHEN {h} THEN {w}::DOUBLE ELSE 0::DOUBLE END" for h, (w, *_) in zip(hits, rows))
-        said = "list_filter([" + ", ".join(f"CASE WHEN {h} THEN {q(r[3])} END" for h, r in zip(hits, rows)) + "], lambda z: z IS NOT NULL)"
+        said = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {h} THEN {q(r[3])} END" for h, r in zip(hits, rows)) + "], lambda z: z IS NOT NULL), '|')"
         parts.append(f"SELECT {id_col}, {q(name)} AS document_type, {q(label)} AS type_label, {q(risk)} AS risk_level, least(1.0::DOUBLE, {total}) AS confidence, {said} AS indicators FROM src WHERE {total} >= {threshold}::DOUBLE")
     return f"WITH src AS (SELECT {id_col}, {text_col} AS t FROM {source} WHERE {text_col} IS NOT NULL) " + " UNION ALL ".join(parts)
 
 
 def _classified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return documents.classify(spread(df.select(id_col, text_col)), id_col, text_col)
+    return documents.classify(spread(df.select(id_col, text_col)), id_col, text_col).withColumn("indicators", F.array_join("indicators", "|"))
 
 
 @query(classify_sql("documents", "doc_id", "text"))
@@ -432,13 +432,13 @@ def image_document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT image_id, CASE WHEN final_score >= 80 THEN 'critical' WHEN final_score >= 60 THEN 'high' WHEN final_score >= 40 THEN 'medium' ELSE 'low' END AS risk_level,
     {case_sql('document_type', d.IMAGE_TYPE_RU, q(d.IMAGE_TYPE_DEFAULT))} AS type_label,
-    list_filter([CASE WHEN final_score >= 80 THEN {q(d.IMAGE_WARNINGS['leak'])} END, CASE WHEN final_score >= 60 THEN {q(d.IMAGE_WARNINGS['identity'])} END, CASE WHEN contains(document_type, 'passport') THEN {q(d.IMAGE_WARNINGS['passport'])} END], lambda z: z IS NOT NULL) AS warnings,
-    CASE WHEN contains(document_type, 'passport') THEN {d.IMAGE_DATA['passport']!r} WHEN contains(document_type, 'id_card') OR contains(document_type, 'driver') THEN {d.IMAGE_DATA['card']!r} ELSE {d.IMAGE_DATA['other']!r} END AS data_found
+    array_to_string(list_filter([CASE WHEN final_score >= 80 THEN {q(d.IMAGE_WARNINGS['leak'])} END, CASE WHEN final_score >= 60 THEN {q(d.IMAGE_WARNINGS['identity'])} END, CASE WHEN contains(document_type, 'passport') THEN {q(d.IMAGE_WARNINGS['passport'])} END], lambda z: z IS NOT NULL), '|') AS warnings,
+    CASE WHEN contains(document_type, 'passport') THEN {q('|'.join(d.IMAGE_DATA['passport']))} WHEN contains(document_type, 'id_card') OR contains(document_type, 'driver') THEN {q('|'.join(d.IMAGE_DATA['card']))} ELSE {q('|'.join(d.IMAGE_DATA['other']))} END AS data_found
     FROM image_results""")
 def image_risk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, score = F.col("document_type"), F.col("final_score")
     label = F.coalesce(stats.translated(F.when(kind.isin(*d.IMAGE_TYPE_RU), kind), d.IMAGE_TYPE_RU), F.lit(d.IMAGE_TYPE_DEFAULT))
-    return table(spark, sf_dir, "image_results").select("image_id", x.risk_label(score).alias("risk_level"), label.alias("type_label"), image.warnings(kind, score).alias("warnings"), image.data_found(kind).alias("data_found"))
+    return table(spark, sf_dir, "image_results").select("image_id", x.risk_label(score).alias("risk_level"), label.alias("type_label"), F.array_join(image.warnings(kind, score), "|").alias("warnings"), F.array_join(image.data_found(kind), "|").alias("data_found"))
 
 
 @query("SELECT file_path, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem, coalesce(try_cast(string_split(regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]*$', ''), '-')[-1] AS INT), 1) AS page FROM image_results WHERE file_path IS NOT NULL")
@@ -468,12 +468,12 @@ def mrz_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("mrz_id", F.inline(F.array(*[F.struct(F.lit(n).alias("field"), mrz.check_digit_fits(a, b).alias("fits")) for n, a, b in parts])))
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.scanner import windowed_rates
 
     rates = windowed_rates(table(spark, sf_dir, "events"), "ts", "event_type")
-    return rates.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return rates.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query()
