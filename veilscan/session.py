@@ -24,9 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for a written intermediate table."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process made; results not yet written or collected are lost with them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    gone = 0
+    while _made:
+        path = hadoop.Path(_made.pop())
+        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def written(df: DataFrame, label: str, partitions: list[str] | None = None) -> DataFrame:
