@@ -104,7 +104,7 @@ def test_stream_equals_batch(spark, tmp_path):
     batch, _ = scan_files(spark, str(src))
     key = ["line_number", "column_start", "pattern_type", "matched_text"]
     assert sorted(map(tuple, s.result().select(*key).collect())) == sorted(map(tuple, batch.select(*key).collect()))
-    (src / "f9.txt").write_text("password=another9")
+    (src / "f9.txt").write_bytes(b"\xff\xfe password=another9")
     s.start(once=True).wait()
     assert s.result().count() == 7
 

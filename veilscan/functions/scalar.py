@@ -93,7 +93,7 @@ def masked(s: Column) -> Column:
 
 def truncated(s: Column, most: int = 100) -> Column:
     """Beyond ``most`` bytes, the first most - 3 bytes and dots; a cut sign becomes U+FFFD."""
-    cut = F.decode(F.substring(F.encode(s, "UTF-8"), 1, most - 3), "UTF-8")
+    cut = F.make_valid_utf8(F.substring(F.encode(s, "UTF-8"), 1, most - 3).cast("string"))
     return F.when(F.octet_length(s) > most, F.concat(cut, F.lit("..."))).otherwise(s)
 
 

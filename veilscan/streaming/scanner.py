@@ -24,7 +24,7 @@ def with_status(files: DataFrame, rules: IgnoreRules | None = None, only: list[s
     path = F.col("path")
     rules = rules or IgnoreRules.default()
     kept = files.where(~F.coalesce(rules.column(path), F.lit(False)))
-    text = F.decode("content", "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))  # decode() would fail the stream on invalid bytes
     binary = F.instr(F.decode(F.substring("content", 1, 512), "ISO-8859-1"), "\0") > 0
     out_of_scope = ~only_extensions(path, only or [])
     if without:
