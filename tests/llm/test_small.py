@@ -251,6 +251,14 @@ def test_leaks(spark):
     assert leakage.leaks(df.limit(0), stated, "id").count() == 0 and leakage.leaks(df, stated.limit(0), "id").count() == 0
 
 
+@pytest.mark.parametrize("every", [3, 4, 5])
+def test_edited_passages_of_shared_wording(every):
+    shared = [f"s{k}" for k in range(20)]
+    index = leakage.Index([(i, "Do it.\n" + " ".join([*shared, *(f"t{i}x{k}" for k in range(30))])) for i in range(6)])
+    text = " ".join(["before"] * 9 + ["other" if k % every == every - 1 else v for k, v in enumerate(shared)] + ["after"] * 9)
+    assert {r[:2] for r in leakage.leaks_of(index, [7, 8], [text, "quite another text"]) if r[3] >= 19 and r[4] >= 0.7 * r[3]} == {(7, i) for i in range(6)}
+
+
 def test_item_blocks_change_nothing(spark, monkeypatch):
     items = spark.createDataFrame(item_texts(), "item_id long, text string")
     docs = items.select(F.col("item_id").alias("doc_id"), "text")

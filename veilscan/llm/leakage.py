@@ -1,15 +1,16 @@
-"""Passages of held-out test items in a corpus: rare n-gram seeds, then Smith-Waterman alignment.
+"""Passages of held-out test items in a corpus: n-gram seeds, then Smith-Waterman alignment.
 
 Items fall into blocks of bounded size; a block's index goes to all executors, and the corpus is read once per block, so
-no join grows with the corpus and no item set is too large. A seed is a word trigram that few items share, which is known
-from the items alone; how often it stands in the corpus does not matter, so an item that leaked everywhere is found
-everywhere. Where seeds of one item gather in a document, the stretch is aligned with the item, all pairs of a batch at
-once in numpy; replaced and missing words cost a little, and the aligned span of the item's words decides.
+no join grows with the corpus and no item set is too large. Seeds are all word pairs and trigrams of the items, however
+many items share them and however often they stand in the corpus. Where trigrams of one item gather in a document, or
+pairs gather near one diagonal, the stretch is aligned with the item, all pairs of a batch at once in numpy; replaced and
+missing words cost a little, and the aligned span of the item's words decides.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from .words import Words
 
 SEED = 3  # words of a seed
-SHARED = 4  # items that may share a seed
 SEEDS = 3  # seeds that lead to an alignment
 APART = 40  # words between seeds of one stretch
 STRETCH = 600  # words aligned at once; longer stretches overlap by half
@@ -55,13 +55,24 @@ class Index:
         self.ids = [i for i, _ in items]
         w = Words([plain(own_wording(t)) for _, t in items])
         self.words = [w.hash[w.doc == k] for k in range(len(items))]
-        at, keys = w.grams(SEED)
-        owners: defaultdict = defaultdict(set)
-        for k, d in zip(keys.tolist(), w.doc[at].tolist()):
-            owners[k].add(d)
-        rare = sorted((k, sorted(d)) for k, d in owners.items() if len(d) <= SHARED)
-        self.seeds = np.array([k for k, _ in rare], np.uint64)
-        self.owners = [d for _, d in rare]
+        first = np.searchsorted(w.doc, np.arange(len(items)))
+        self.grams = {}
+        for n in (2, SEED):
+            at, keys = w.grams(n)
+            order = np.argsort(keys, kind="stable")
+            at = at[order]
+            keys, start, count = np.unique(keys[order], return_index=True, return_counts=True)
+            self.grams[n] = keys, start, count, w.doc[at], at - first[w.doc[at]]
+
+    def hits(self, w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word of the texts, item, word of the item) of every n-gram they have in common."""
+        own, start, counts, item, place = self.grams[n]
+        at, keys = w.grams(n)
+        k = np.minimum(np.searchsorted(own, keys), max(len(own) - 1, 0))
+        shared = np.flatnonzero(own[k] == keys) if len(own) else k[:0]
+        at, low, count = at[shared], start[k[shared]], counts[k[shared]]
+        k = np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)
+        return np.repeat(at, count), item[k], place[k]
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
@@ -75,37 +86,39 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, in
     for k, (a, b) in enumerate(pairs):
         text[k, : len(a)], item[k, : len(b)], filled[k, : len(b)] = a, b, True
         text[k, len(a) :] = 1  # equals no item word of consequence
-    place = np.broadcast_to(np.arange(cols, dtype=np.int32), (n, cols))
-    score = np.zeros((n, cols + 1), np.int32)
-    begin = np.zeros((n, cols + 1), np.int32)
-    hits = np.zeros((n, cols + 1), np.int32)
+    kind = np.int16 if MATCH * max(rows, cols) < 30_000 else np.int32  # narrow numbers take less time
+    place = np.arange(cols, dtype=np.int64 if cols >> 19 else np.int32) << 12  # the first item word, and below it the matches
+    score = np.zeros((n, cols + 1), kind)
+    path = np.zeros((n, cols + 1), place.dtype)
     best = np.zeros((n, 3), np.int32)
     r = np.arange(n)
     for i in range(rows):
         same = (item == text[:, i : i + 1]) & filled
-        diagonal = score[:, :-1] + np.where(same, MATCH, MISS)
-        b = np.where(score[:, :-1] > 0, begin[:, :-1], place)
-        h = np.where(score[:, :-1] > 0, hits[:, :-1], 0) + same
-        up = score[:, 1:] + GAP
-        higher = up > diagonal
-        new, b, h = np.where(higher, up, diagonal), np.where(higher, begin[:, 1:], b), np.where(higher, hits[:, 1:], h)
+        new = score[:, :-1] + (same.view(np.int8) * np.int8(MATCH - MISS) + np.int8(MISS))
+        way = np.where(score[:, :-1] > 0, path[:, :-1], place) + same
+        up = score[:, 1:] + kind(GAP)
+        np.copyto(way, path[:, 1:], where=up > new)
+        np.maximum(new, up, out=new)
         for g in (1, 2, 3):  # item words left out
-            side = new[:, :-g] + g * GAP
+            side = new[:, :-g] + kind(g * GAP)
             higher = side > new[:, g:]
             if higher.any():
-                new[:, g:], b[:, g:], h[:, g:] = np.where(higher, side, new[:, g:]), np.where(higher, b[:, :-g], b[:, g:]), np.where(higher, h[:, :-g], h[:, g:])
-        new = np.maximum(new, 0)
-        score[:, 1:], begin[:, 1:], hits[:, 1:] = new, b, h
+                np.copyto(way[:, g:], way[:, :-g].copy(), where=higher)
+                np.maximum(new[:, g:], side, out=new[:, g:])
+        np.maximum(new, 0, out=new)
+        score[:, 1:], path[:, 1:] = new, way
         top = new.argmax(axis=1)
-        better = new[r, top] > best[:, 0]
-        best[better] = np.stack([new[r, top], top - b[r, top] + 1, h[r, top]], axis=1)[better]
+        high = new[r, top]
+        better = np.flatnonzero(high > best[:, 0])
+        top, way = top[better], way[better, top[better]]
+        best[better] = np.stack([high[better], top - (way >> 12) + 1, way & 4095], axis=1)
     return [tuple(x) for x in best.tolist()]
 
 
-def _stretches(places: np.ndarray) -> list[tuple[int, int]]:
+def _stretches(places: np.ndarray, least: int) -> list[tuple[int, int]]:
     out, cuts = [], np.flatnonzero(np.diff(places) > APART) + 1
     for part in np.split(places, cuts):
-        if len(part) < SEEDS:
+        if len(part) < least:
             continue
         a, b = int(part[0]) - APART, int(part[-1]) + SEED + APART
         while b - a > STRETCH:
@@ -115,31 +128,66 @@ def _stretches(places: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def leaks_of(index: Index, ids: list, texts: list[str]) -> list[tuple]:
+def _near_diagonal(pair: np.ndarray, word: np.ndarray, place: np.ndarray, least: int, ratio: float) -> np.ndarray:
+    """Whether a shared word pair belongs to a group that every passage of such a length and ratio holds.
+
+    A passage is a row of pieces of least to 2 * least - 1 words, one of which has the ratio too. With m of its n words in
+    place, a piece keeps m words in at most n - m + 1 runs, thus 2m - n - 1 pairs; its words left out move the diagonal by
+    n - m at most, and half overlapping bands of twice that width hold any such move.
+    """
+    sizes = [(n, math.ceil(n * ratio)) for n in range(least, 2 * least)]
+    need, step = max(1, min(2 * m - n - 1 for n, m in sizes)), max(n - m for n, m in sizes) + 1
+    out = np.zeros(len(word), bool)
+    for phase in (0, 1) if len(word) >= need else ():
+        band = ((place - word) // step + phase) // 2
+        order = np.lexsort((word, band, pair))
+        p, b, at = pair[order], band[order], word[order]
+        fresh = np.concatenate([[True], (np.diff(p) != 0) | (np.diff(b) != 0) | (np.diff(at) != 0)])
+        rank = np.cumsum(fresh) - 1
+        p, b, at = p[fresh], b[fresh], at[fresh]
+        n = len(at) - need + 1
+        if n <= 0:
+            continue
+        full = np.flatnonzero((p[:n] == p[need - 1 :]) & (b[:n] == b[need - 1 :]) & (at[need - 1 :] - at[:n] < max(APART, 2 * least)))
+        kept = np.zeros(len(at), bool)
+        for k in range(need):
+            kept[full + k] = True
+        out[order] |= kept[rank]
+    return out
+
+
+def leaks_of(index: Index, ids: list, texts: list[str], least: int = 19, ratio: float = 0.7) -> list[tuple]:
     w = Words([plain(t) for t in texts])
-    at, keys = w.grams(SEED)
-    if not len(at) or not len(index.seeds):
+    if not len(w.hash):
         return []
-    k = np.minimum(np.searchsorted(index.seeds, keys), len(index.seeds) - 1)
-    hit = index.seeds[k] == keys
-    at, k = at[hit], k[hit]
-    places: defaultdict = defaultdict(list)
-    for word, seed in zip(at.tolist(), k.tolist()):
-        for item in index.owners[seed]:
-            places[int(w.doc[word]), item].append(word)
+    n = len(index.ids)
+    stretches: defaultdict = defaultdict(set)
+
+    def gather(pair: np.ndarray, word: np.ndarray, least: int) -> None:
+        pair, word = np.divmod(np.unique(pair * len(w.hash) + word), len(w.hash))
+        for places, p in zip(np.split(word, np.flatnonzero(np.diff(pair)) + 1), np.unique(pair).tolist()):
+            if len(places) >= least:
+                stretches[divmod(p, n)].update(_stretches(places, least))
+
+    word, item, _ = index.hits(w, SEED)
+    gather(w.doc[word] * n + item, word, SEEDS)
+    word, item, place = index.hits(w, 2)
+    pair = w.doc[word] * n + item
+    near = _near_diagonal(pair, word, place, least, ratio)
+    gather(pair[near], word[near], 1)
     first, last = np.searchsorted(w.doc, np.arange(len(texts))), np.searchsorted(w.doc, np.arange(len(texts)), "right")
     pairs, whose = [], []
-    for (doc, item), words in places.items():
-        if len(words) >= SEEDS:
-            for a, b in _stretches(np.array(sorted(set(words)))):
-                pairs.append((w.hash[max(a, first[doc]) : min(b, last[doc])], index.words[item]))
-                whose.append((doc, item))
+    for (doc, item), some in stretches.items():
+        for a, b in {(max(a, first[doc]), min(b, last[doc])) for a, b in some}:
+            pairs.append((w.hash[a:b], index.words[item]))
+            whose.append((doc, item))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]))
-    for i in range(0, len(order), 256):
-        some = order[i : i + 256]
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]) // 8, len(pairs[i][0])))
+    for i in range(0, len(order), 128):
+        some = order[i : i + 128]
         for j, got in zip(some, align([pairs[j] for j in some])):
-            best[whose[j]] = max(best.get(whose[j], (0, 0, 0)), got)
+            if got[1] >= least and got[2] >= got[1] * ratio:
+                best[whose[j]] = max(best.get(whose[j], (0, 0, 0)), got)
     return [(ids[doc], index.ids[item], *got) for (doc, item), got in best.items()]
 
 
@@ -166,7 +214,7 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 cut = (batch["text"].str.len().cumsum() // 2_000_000).to_numpy()
                 for c in np.unique(cut):
                     part = batch[cut == c]
-                    yield pd.DataFrame(leaks_of(index, part["id"].tolist(), part["text"].tolist()), columns=["id", "item_id", "score", "span", "matches"])
+                    yield pd.DataFrame(leaks_of(index, part["id"].tolist(), part["text"].tolist(), max(least_span - slack, 1), least_matches), columns=["id", "item_id", "score", "span", "matches"])
 
         found = corpus.mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)
