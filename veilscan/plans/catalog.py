@@ -202,11 +202,16 @@ def masked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT finding_id, CASE WHEN strlen(context) > 100 THEN context[1:97] || '...' ELSE context END AS shown FROM findings WHERE context IS NOT NULL AND strlen(context) = length(context)")
 def truncated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # cuts inside a code point are not sayable in SQL; a unit test covers them
+    # the part that SQL can say, for comparison; truncated_contexts has all
     f = table(spark, sf_dir, "findings").where("context IS NOT NULL AND octet_length(context) = length(context)")
     return f.select("finding_id", x.truncated(F.col("context")).alias("shown"))
 
 
+@query()  # cuts inside a code point are not sayable in SQL
+def truncated_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "findings").where("context IS NOT NULL").select("finding_id", x.truncated(F.col("context")).alias("shown"))
+
+
 @query("""SELECT DISTINCT file_path, CASE WHEN length(file_path) <= 50 THEN file_path ELSE file_path[1:16] || '...' || right(file_path, 31) END AS shown FROM findings WHERE file_path IS NOT NULL""")
 def truncated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "findings").where("file_path IS NOT NULL").select("file_path", x.path_truncated(F.col("file_path")).alias("shown")).distinct()
