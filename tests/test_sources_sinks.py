@@ -60,6 +60,36 @@ def test_extractors():
         extract.text_of("a.png", b"")
 
 
+def test_gzip_is_scanned_to_its_end(spark, tmp_path):
+    blank = b" " * (1 << 20)
+    with gzip.open(tmp_path / "big.gz", "wb", 1) as g:
+        g.write(b"mail first@example.com\n")
+        for _ in range(101):
+            g.write(blank + b"\n")
+        g.write("é password=secret123".encode())
+    (tmp_path / "whole.gz").write_bytes(gzip.compress(b"password=secret456"))
+    (tmp_path / "cut.gz").write_bytes((tmp_path / "big.gz").read_bytes()[:-20])
+    findings, status = scan_files(spark, str(tmp_path), ScanOptions(archives=True))
+    rows = {(r["file_path"].rsplit("/", 1)[-1].split()[0], r["pattern_type"], r["line_number"]) for r in findings.collect()}
+    assert rows == {("big.gz", "email", 1), ("big.gz", "password", 103), ("whole.gz", "password", 1)}
+    assert sorted((r["file_path"].rsplit("/", 1)[-1], r["scan_status"]) for r in status.collect()) == [("big.gz", "scanned"), ("cut.gz", "error"), ("whole.gz", "scanned")]
+
+
+def test_compressed_tar_has_no_cap(monkeypatch):
+    monkeypatch.setattr(extract, "MEMBER_LIMIT", 10)
+    packed = make_tar({"a.txt": b"x" * 30, "b.txt": b"y"}, "w:gz")
+    want = "=== a.txt ===\n" + "x" * 30 + "\n\n=== b.txt ===\ny"
+    assert extract.text_of("a.tgz", packed) == want and "x" not in extract.text_of("a.tar", make_tar({"a.txt": b"x" * 30, "b.md": b"y"})).replace("txt", "")
+
+
+def test_pieces_are_whole_lines(monkeypatch):
+    monkeypatch.setattr(extract, "BLOCK", 7)
+    text = "one\ntwo é three\n\nfour" + "long" * 9 + "\nlast\n"
+    pieces = list(extract.pieces_of("a.gz", gzip.compress(text.encode())))
+    assert len(pieces) > 2 and "\n".join(t for _, t in pieces) == text
+    assert all(text.split("\n")[n : n + len(t.split("\n"))] == t.split("\n") for n, t in pieces)
+
+
 def test_tree_scan(spark, tree):
     findings, status = scan_files(spark, str(tree))
     rows = {(r["file_path"].rsplit("/", 1)[-1], r["pattern_type"]) for r in findings.collect()}

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import codecs
 import gzip
 import io
 import re
 import tarfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import IO
 
-MEMBER_LIMIT = 100 << 20  # bytes; larger archive members are left out
+BLOCK = 16 << 20  # bytes read, and signs of a piece of text
+MEMBER_LIMIT = 100 << 20  # bytes; larger members of zip and tar archives are left out, those of compressed tar archives are not
 #: Extensions of members that are read as text (fixed values).
 ZIP_TEXT = {".txt", ".md", ".json", ".xml", ".yaml", ".yml", ".env", ".cfg", ".conf", ".ini"}
 TAR_TEXT = {".txt", ".md", ".rst", ".json", ".xml", ".yaml", ".yml", ".csv", ".env", ".cfg", ".conf", ".ini", ".log", ".sql", ".py", ".js", ".ts", ".go", ".java", ".c", ".cpp", ".h", ".sh", ".bash", ".zsh", ".html", ".htm", ".css"}
@@ -96,20 +99,63 @@ def zipped(data: bytes) -> str:
     return "\n\n".join(out)
 
 
-def tarred(data: bytes, mode: str = "r:") -> str:
-    out = []
+def _blocks(f: IO[bytes]) -> Iterator[str]:
+    """Decoded text of a file, a block at a time."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    while block := f.read(BLOCK):
+        yield decoder.decode(block)
+    yield decoder.decode(b"", True)
+
+
+def _members(data: bytes, mode: str, most: int | None) -> Iterator[str]:
+    sep = ""
     with tarfile.open(fileobj=io.BytesIO(data), mode=mode) as t:
         for m in t:
-            if m.isfile() and m.size <= MEMBER_LIMIT and ending(m.name) in TAR_TEXT:
-                out.append(_member(m.name, _decoded(t.extractfile(m).read())))
-    return "\n\n".join(out)
+            if m.isfile() and (most is None or m.size <= most) and ending(m.name) in TAR_TEXT:
+                yield sep + _member(m.name, "")
+                yield from _blocks(t.extractfile(m))
+                sep = "\n\n"
 
 
-def gzipped(data: bytes, name: str) -> str:
+def tarred(data: bytes) -> str:
+    return "".join(_members(data, "r:", MEMBER_LIMIT))
+
+
+def _unzipped(data: bytes, name: str) -> Iterator[str]:
+    """The whole text of a .gz, or of the members of a compressed tar archive, whatever its size, a block at a time."""
     if name.endswith((".tar.gz", ".tgz")):
-        return tarred(data, "r:gz")
-    with gzip.GzipFile(fileobj=io.BytesIO(data)) as g:
-        return _decoded(g.read(MEMBER_LIMIT))
+        yield from _members(data, "r:gz", None)
+    else:
+        with gzip.GzipFile(fileobj=io.BytesIO(data)) as g:
+            yield from _blocks(g)
+
+
+def gzipped(data: bytes, name: str) -> str:
+    return "".join(_unzipped(data, name))
+
+
+def _by_lines(blocks: Iterator[str]) -> Iterator[tuple[int, str]]:
+    """(lines before, text): the blocks cut anew at ends of lines, the ends left out; a line is never cut."""
+    before, held, size = 0, [], 0
+    for block in blocks:
+        held.append(block)
+        size += len(block)
+        if size >= BLOCK and "\n" in block:
+            whole, _, rest = "".join(held).rpartition("\n")
+            yield before, whole
+            before, held, size = before + whole.count("\n") + 1, [rest], len(rest)
+    yield before, "".join(held)
+
+
+def pieces_of(name: str, data: bytes, ocr: Callable[[bytes], str] | None = None) -> Iterator[tuple[int, str]]:
+    """(lines before, text) of the text of a file, in pieces where it may be far larger than the file. Such a file is read
+    twice, so that a damaged one raises before its first piece."""
+    if ending(name) not in (".gz", ".tgz"):
+        yield 0, text_of(name, data, ocr)
+        return
+    for _ in _unzipped(data, name):
+        pass
+    yield from _by_lines(_unzipped(data, name))
 
 
 def text_of(name: str, data: bytes, ocr: Callable[[bytes], str] | None = None) -> str:

@@ -16,7 +16,7 @@ from ..operators.ignore import IgnoreRules, only_extensions
 from . import extract
 
 LISTED = "path string, length long"
-READ = "path string, length long, route string, scan_status string, skip_reason string, text string"
+READ = "path string, length long, route string, scan_status string, skip_reason string, text string, part int, lines_before long"
 IGNORE_FILE = ".veilscan-ignore"
 
 
@@ -101,7 +101,9 @@ def listed(spark: SparkSession, root: str, options: ScanOptions) -> DataFrame:
 
 
 def read(files: DataFrame, options: ScanOptions) -> DataFrame:
-    """(path, length, route, scan_status, skip_reason, text) of listed files.
+    """(path, length, route, scan_status, skip_reason, text, part, lines_before) of listed files.
+
+    What a gzip file holds comes in pieces of whole lines, a row each; the first row of every file is part 0.
 
     Whitelist and size are decided before a byte is read. Route is text, document, archive or image. A NUL in the first
     512 bytes makes a file binary, which is skipped without a reason, like a file too large or of another extension.
@@ -109,36 +111,48 @@ def read(files: DataFrame, options: ScanOptions) -> DataFrame:
     ocr, docs, archives, images, most = options.ocr, options.documents, options.archives, options.images, options.max_size
     known_docs = {e for e in DOCUMENT_EXTENSIONS if e not in (".pptx", ".ppt", ".odt", ".ods", ".odp")}
 
-    def one(path: str, length: int) -> tuple:
+    def one(path: str, length: int) -> Iterator[tuple]:
         e = extract.ending(path)
         route = "document" if e in known_docs else "archive" if e in ARCHIVE_EXTENSIONS else "image" if e in IMAGE_EXTENSIONS else "text"
         off = {"document": not docs, "archive": not archives, "image": not images}.get(route, False)
+        def left(status: str, reason: str | None) -> tuple:
+            return path, length, route, status, reason, None, 0, 0
+
         if off:
-            return path, length, route, "skipped", f"{route} scanning is off", None
+            yield left("skipped", f"{route} scanning is off")
+            return
         if route == "image" and ocr is None:
-            return path, length, route, "skipped", "no reader for images", None
+            yield left("skipped", "no reader for images")
+            return
         try:
             with open(path, "rb") as f:
                 data = f.read(most + 1)
         except OSError as x:
-            return path, length, route, "error", str(x), None
+            yield left("error", str(x))
+            return
         if route == "text":
-            if b"\0" in data[:512]:
-                return path, length, route, "skipped", None, None
-            return path, length, route, "scanned", None, data.decode("utf-8", "replace")
+            yield left("skipped", None) if b"\0" in data[:512] else (path, length, route, "scanned", None, data.decode("utf-8", "replace"), 0, 0)
+            return
+        part = 0
         try:
-            text = extract.text_of(path, data, ocr)
+            for before, text in extract.pieces_of(path, data, ocr):
+                if text.strip():
+                    yield path, length, route, "scanned", None, text, part, before
+                    part += 1
         except Exception as x:  # damaged containers raise whatever their reader raises
-            return path, length, route, "error", f"extraction failed: {x}", None
-        return (path, length, route, "scanned", None, text) if text.strip() else (path, length, route, "skipped", "no text", None)
+            yield left("error", f"extraction failed: {x}")
+            return
+        if not part:
+            yield left("skipped", "no text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, length in zip(batch["path"], batch["length"]):  # one file in memory at a time
-                yield pd.DataFrame([one(path, length)], columns=["path", "length", "route", "scan_status", "skip_reason", "text"])
+                for row in one(path, length):
+                    yield pd.DataFrame([row], columns=["path", "length", "route", "scan_status", "skip_reason", "text", "part", "lines_before"])
 
     fits = only_extensions(F.col("path"), options.only) & (F.col("length") <= options.max_size)
-    left_out = files.where(~fits).select("path", "length", F.lit(None).cast("string").alias("route"), F.lit("skipped").alias("scan_status"), F.lit(None).cast("string").alias("skip_reason"), F.lit(None).cast("string").alias("text"))
+    left_out = files.where(~fits).select("path", "length", F.lit(None).cast("string").alias("route"), F.lit("skipped").alias("scan_status"), F.lit(None).cast("string").alias("skip_reason"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("lines_before"))
     taken = files.where(fits)
     if options.partitions:
         taken = taken.repartition(options.partitions)
@@ -152,10 +166,11 @@ def scan_files(spark: SparkSession, root: str, options: ScanOptions | None = Non
     texts = read(listed(spark, root, options), options)
     long_line = (F.col("route") == "text") & scan.too_long_lines(F.col("text"))
     texts = texts.withColumn("scan_status", F.when(long_line, "error").otherwise(F.col("scan_status")))
-    status = texts.select(F.col("path").alias("file_path"), "scan_status", "skip_reason", F.col("length").alias("size_bytes"))
+    status = texts.where("part = 0").select(F.col("path").alias("file_path"), "scan_status", "skip_reason", F.col("length").alias("size_bytes"))
     good = texts.where("scan_status = 'scanned'")
     mark = F.when(F.col("route") == "archive", F.lit(" (архив)")).when(F.col("route") == "image", F.lit(" (OCR)")).otherwise(F.lit(""))
-    good = good.select(F.concat("path", mark).alias("file_path"), "route", "text")
+    good = good.select(F.concat("path", mark).alias("file_path"), "route", "text", "lines_before")
     plain = scan.findings(good.where("route = 'text'"), "file_path", "text", strip_cr=True)
-    extracted = scan.findings(good.where("route <> 'text'"), "file_path", "text")
-    return plain.unionByName(extracted), status
+    pieces = good.where("route <> 'text'").select(F.struct("file_path", "lines_before").alias("piece"), "text")
+    extracted = scan.findings(pieces, "piece", "text").withColumn("line_number", (F.col("line_number") + F.col("piece.lines_before")).cast("int"))
+    return plain.unionByName(extracted.withColumn("piece", F.col("piece.file_path")).withColumnRenamed("piece", "file_path")), status
