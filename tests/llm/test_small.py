@@ -116,6 +116,16 @@ def test_scanned(spark):
     assert scanned.noise(df.limit(0)).count() == 0
 
 
+def test_misread_compounds_and_first_signs(spark):
+    body = "only the half-finished draft of the walnut meadow came by e-mail on the 1st"
+    rows = [("extracted", 100 + k, f"text:{100 + k}", False, body) for k in range(30)]
+    bad = {1: ("Half-Finishcd draft", "Half-Finished draft"), 2: ("the vvalnut", "the walnut"), 3: ("the rneadow", "the meadow"), 4: ("0nly the", "only the"), 5: ("by e-rnail", "by e-mail"), 6: ("on the 1st", "on the 1st")}
+    df = spark.createDataFrame(rows + [("extracted", k, f"text:{k}", False, was) for k, (was, _) in bad.items()], "source_table string, record_id long, scope string, page boolean, text string")
+    assert {r["record_id"] for r in scanned.noise(df).collect()} == {1, 2, 3, 4, 5}
+    flowed = {r["record_id"]: r["text"] for r in scanned.reflowed(df).where("record_id < 100").collect()}
+    assert flowed == {k: now for k, (_, now) in bad.items()}
+
+
 def test_skeletons_and_page_numbers():
     assert scanned.skeleton("Tickef") == scanned.skeleton("T!cket") and scanned.skeleton("biiild") == scanned.skeleton("build") and scanned.skeleton("важньlй") == scanned.skeleton("важный")
     assert all(map(scanned.page_number, ["- 7 -", "Page 3 of 9", "стр. 21", "[12]", "Seite 4 von 5", "12/40"])) and not any(map(scanned.page_number, ["7427/7427", "Page", "1.2", "Room 5"]))

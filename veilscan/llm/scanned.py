@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -132,7 +132,7 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 w = w.strip("!|_").lower()
                 if len(w) >= 3 and (w, before) not in seen:
                     seen.add((w, before))
-                    rows.append((table, i, "t", w, "" if "-" in w else skeleton(w), before))
+                    rows.append((table, i, "t", w, skeleton(w), before))
                 before = w[:12]
         yield pd.DataFrame(rows, columns=["source_table", "record_id", "kind", "word", "skel", "before"])
 
@@ -162,11 +162,14 @@ def misread_words(counts: DataFrame) -> DataFrame:
     forms = counts.where(F.col("skel") != "").groupBy("skel", "word").agg(F.sum("n").alias("n"))
     heads = forms.where(~_odd(F.col("word"))).groupBy("skel").agg(F.max_by("word", F.struct("n", "word")).alias("meant"), F.max("n").alias("top"))
     pairs = forms.join(heads, "skel").where((F.col("word") != F.col("meant")) & (F.col("top") >= LEAST))
-    # 1st and 3rd are words; a longer one that begins with a digit is none
-    odd = _odd(F.col("word")) & (~F.col("word").rlike(r"^[0-9]") | (F.length("word") >= 5)) & (F.col("top") >= F.col("n"))
-    # t and f begin names that differ in nothing else
+    often = F.col("top") >= F.col("n") * RATIO
+    # 1st and 3rd are words; a longer one that begins with a digit is none, a shorter one only where the plain form is frequent
+    short = F.col("word").rlike("^[0-9]") & (F.length("word") < 5)
+    odd = _odd(F.col("word")) & (F.col("top") >= F.col("n")) & (~short | often & ~F.col("word").rlike("^[0-9]+(?:st|nd|rd|th)$"))
+    # t and f begin names that differ in nothing else; two signs for one do not
     first = F.substring("word", 1, 1) == F.substring("meant", 1, 1)
-    clear = first & (F.col("top") >= F.col("n") * RATIO)
+    several = reduce(lambda a, b: a | b, [F.col("word").startswith(g) & F.col("meant").startswith(one) for g, one in GROUPS])
+    clear = (first | several) & often
     pairs = written(pairs.select("word", "meant", (odd | clear).alias("sure"), (~odd & first & (F.col("top") >= F.col("n") * SUPPORTED_RATIO)).alias("likely")).where("sure OR likely"), "scanned-pairs")
     unsure = pairs.where("NOT sure").select("word", "meant")
     own = counts.where(F.col("before") != "").join(unsure, "word").select("before", "word", "meant", "n")
@@ -251,7 +254,8 @@ def reflowed(texts: DataFrame) -> DataFrame:
                     now = meant.get(w.lower())
                     if now is None:
                         return m.group()
-                    now = now.upper() if w.isupper() else now[0].upper() + now[1:] if w[0].isupper() else now
+                    was, parts = w.split("-"), now.split("-")
+                    now = "-".join(p.upper() if w.isupper() else p[0].upper() + p[1:] if o[0].isupper() else p for o, p in zip(was, parts))
                     return m.group().replace(w, now)
 
                 text = BREAK.sub(whole, text).replace("\n", " ")
