@@ -126,6 +126,14 @@ def test_misread_compounds_and_first_signs(spark):
     assert flowed == {k: now for k, (_, now) in bad.items()}
 
 
+@pytest.mark.parametrize("before, misread", [("verwaltungsgebaeude", False), ("verwaltungsgerichte", True)])
+def test_long_words_with_one_beginning_are_two_contexts(spark, before, misread):
+    rows = [("extracted", 100 + k, f"text:{100 + k}", False, "verwaltungsgerichte ticket") for k in range(25)]
+    rows += [("extracted", 1, "text:1", False, f"{before} tickef"), ("extracted", 2, "text:2", False, "quite another tickef")]
+    df = spark.createDataFrame(rows, "source_table string, record_id long, scope string, page boolean, text string")
+    assert (("extracted", 1, "ocr_char") in {tuple(r) for r in scanned.noise(df).collect()}) == misread
+
+
 def test_skeletons_and_page_numbers():
     assert scanned.skeleton("Tickef") == scanned.skeleton("T!cket") and scanned.skeleton("biiild") == scanned.skeleton("build") and scanned.skeleton("важньlй") == scanned.skeleton("важный")
     assert all(map(scanned.page_number, ["- 7 -", "Page 3 of 9", "стр. 21", "[12]", "Seite 4 von 5", "12/40"])) and not any(map(scanned.page_number, ["7427/7427", "Page", "1.2", "Room 5"]))

@@ -133,7 +133,7 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(w) >= 3 and (w, before) not in seen:
                     seen.add((w, before))
                     rows.append((table, i, "t", w, skeleton(w), before))
-                before = w[:12]
+                before = w
         yield pd.DataFrame(rows, columns=["source_table", "record_id", "kind", "word", "skel", "before"])
 
 
