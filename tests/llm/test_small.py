@@ -164,6 +164,16 @@ def test_personal(spark):
     assert pii.find(df.limit(0), LEXICON).count() == 0
 
 
+def test_every_label_counts_on_one_line():
+    find = pii.Finder(LEXICON)
+    for label in pii._LABEL_LIST:
+        whole = label.replace("(", "").replace(")", "").split("|")[0]
+        for text in (f"{whole} 235-07-5349", f"{whole.replace(' ', chr(160))} 235-07-5349", f"{whole.replace(' ', '')}: 235-07-5349"):
+            assert [(text[a:b], k) for a, b, k in find(text)] == [("235-07-5349", "identity_number")], text
+    text = "pa55p0rt no. 235-07-5349"
+    assert [text[a:b] for a, b, _ in find(text)] == ["235-07-5349"]
+
+
 def test_places_survive_disguises():
     m = pii.undisguised("a ａｂ (at) host [dot] test ￥")
     at = m.text.index("ab@host.test")

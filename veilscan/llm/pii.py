@@ -140,10 +140,8 @@ def _label(words: str) -> str:
     return "".join(out)
 
 
-_LABEL_LIST = sorted((x.strip() for line in LABELS.strip().splitlines() for x in line.split(";")), key=len, reverse=True)
+_LABEL_LIST = sorted((x.strip() for line in LABELS.strip().splitlines() for x in line.split(";")), key=lambda x: len(re.sub(r" ?\(.*?\)", "", x)), reverse=True)
 LABEL = re.compile(r"(?<!\w)(?:" + "|".join(map(_label, _LABEL_LIST)) + r")(?:[ ]?[:=№#]|[ ]?n[°º]|[ ]nr\.?|[ ]no\.?|[ ]nu[mn]ber)*[ ]?(?=[\"'«(]?[a-z0-9])")
-#: Parts of labels that are looked for first; scanned text is always read (fixed values).
-HINTS = ("ssn", "secur", "sécur", "insur", "passp", "licen", "id card", "identi", "passep", "permis", "reisep", "personala", "führ", "steuer", "versich", "dni", "nie", "nif", "pasap", "tarjeta", "vitale", "tax id", "nino", "polic", "паспорт", "снилс", "инн", "полис", "удостов")
 STRUCTURED = [re.compile(rf"<(?:no|id|number|doc)>(?P<v>{ID_SHAPE})</"), re.compile(rf""""(?:id|no|document|doc_no|ssn|passport|number)"\s*:\s*"(?P<v>{ID_SHAPE})\""""), re.compile(rf"(?<=;)(?P<v>{ID_SHAPE})(?=;)"), re.compile(rf"(?<=',')(?P<v>\d{{3}}-\d{{2}}-\d{{4}})(?=')")]
 
 CAP = r"[A-ZÀ-ÖØ-Þ][\wà-öø-ÿ'’]+"
@@ -238,8 +236,7 @@ class Finder:
         return sorted(got)
 
     def _numbers(self, text: str, m: Mapped, take) -> None:
-        low = text.lower()
-        r = readable(text) if "\n" in text or any(h in low for h in HINTS) else None
+        r = readable(text) if re.search(r"\d\D*\d\D*\d\D*\d", text) else None  # a labelled number has four digits
         for x in LABEL.finditer(r.text) if r else ():
             at = r.ends[x.end() - 1]
             while at < len(text) and text[at] in " \n\t\"'«(":
