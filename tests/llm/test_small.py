@@ -43,6 +43,12 @@ def test_credentials(spark):
     assert [r["secret"] for r in secrets.find(both.where("id = 100"), "id", "text", "other").collect()] == ["Zx9!kkWq"]
 
 
+def test_short_letter_passwords_of_mixed_case():
+    a = secrets.Automaton()
+    for text, want in [('connect(passwd="joveuCGnne")', ["joveuCGnne"]), ("password: jrAZZZaCFt", ["jrAZZZaCFt"]), ('password = "dbUserPwd"', []), ('password = "HMBYIELI"', []), ('passwd = "Passwort"', [])]:
+        assert [text[s:e] for s, e, _ in a.spans(text)] == want, text
+
+
 def test_matched_text_alone():
     told = {"'Raven!5119x'": "Raven!5119x", "-pR4v3nz3phyr75": "R4v3nz3phyr75", "token hlb-LYWrVMVgKHa3ekGe0hWzeMDjl": "hlb-LYWrVMVgKHa3ekGe0hWzeMDjl", "password>jsFB2Cg8fr": "jsFB2Cg8fr", "appuser:sltag6": "sltag6", "onyx-elder-dapple-24": "onyx-elder-dapple-24"}
     for text, secret in told.items():

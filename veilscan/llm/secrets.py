@@ -49,6 +49,10 @@ TOKEN = r"[A-Za-z0-9_\-.+/=~]{16,}"
 LONE = re.compile(rf"(?<![\w\-./+=])(?P<bare>{TOKEN})(?![\w\-])")
 
 
+#: Short parts of names (fixed values).
+SHORT_WORDS = {"a", "an", "as", "at", "by", "db", "do", "go", "id", "ids", "if", "in", "io", "ip", "is", "it", "my", "no", "of", "on", "or", "os", "to", "ui", "up", "pw", "pwd", "psw", "pass", "cfg", "ctx", "msg", "str", "ptr", "txt", "url", "uri", "ssh", "ssl", "tls", "ftp", "http", "https", "html", "xml", "sql", "mysql", "ldap", "smtp", "srv", "svc", "mgr", "btn", "tmp", "rds", "aws", "dns", "jwt", "kms"}
+
+
 def entropy(s: str) -> float:
     n = len(s)
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
@@ -63,13 +67,21 @@ def random_looking(s: str) -> bool:
     return len(re.findall(r"[a-z]{6,}|[A-Z][a-z]{5,}", s)) == 0 or entropy(s) > 4.2
 
 
-def usable(value: str, quoted: bool) -> bool:
+def _mixed(value: str) -> bool:
+    """Eight letters or more in mixed case, two parts of which are no words of a camel-case name."""
+    if not re.fullmatch(r"[A-Za-z]{8,}", value) or value.isupper() or value[1:].islower():
+        return False
+    parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", value)
+    return sum(p.lower() not in SHORT_WORDS and (len(p) <= 2 or not re.search(r"(?i)[aeiouy]", p) or re.match(r"(?i)[bcdfghjklmnpqrstvwxz]{3}(?<!str)(?<!spr)(?<!scr)(?<!spl)(?<!sch)(?<!shr)(?<!thr)(?<!chr)(?<!phr)", p) is not None) for p in parts) >= 2
+
+
+def usable(value: str, quoted: bool, password: bool = False) -> bool:
     """A value that can be used as it stands, and not a reference, a prompt or a stand-in."""
     if len(value) < 4 or REFERENCE.search(value) or PLACEHOLDER.search(value):
         return False
     if re.search(r"\s", value) or value.isdigit() and len(value) < 6:
         return False
-    if re.fullmatch(r"[A-Za-z]+(?:[-_.][A-Za-z]+)*", value) and not (re.search(r"[a-z][A-Z]|[A-Z]{2}[a-z]", value) and entropy(value) > 3.0 and len(value) >= 8):
+    if re.fullmatch(r"[A-Za-z]+(?:[-_.][A-Za-z]+)*", value) and not (re.search(r"[a-z][A-Z]|[A-Z]{2}[a-z]", value) and entropy(value) > 3.0 and len(value) >= 8) and not (password and _mixed(value)):
         return False  # words only: the name of an object, a field or a file
     if re.search(r"[()\[\]{}]", value) and not quoted and re.search(r"\w[(\[{]\S*|^[)\]}]", value) and not re.search(r"[!@#$%^&*]", value):
         return False
@@ -110,7 +122,7 @@ class Automaton:
             if not quoted:
                 cut = value.rstrip(";,.)>") if not trusted else value
                 end, value = start + len(cut), cut
-            if value and (trusted and not PLACEHOLDER.search(value) or not trusted and usable(value, quoted)):
+            if value and (trusted and not PLACEHOLDER.search(value) or not trusted and usable(value, quoted, kind == "password")):
                 out.append((rank, start, end, kind))
 
         anchors = self.anchors(text)
