@@ -285,20 +285,47 @@ def test_leaks(spark):
     assert leakage.leaks(df.limit(0), stated, "id").count() == 0 and leakage.leaks(df, stated.limit(0), "id").count() == 0
 
 
-@pytest.mark.parametrize("every", [3, 4, 5])
-def test_edited_passages_of_shared_wording(every):
+@pytest.mark.parametrize("every, owners", [(3, 6), (4, 6), (5, 6), (4, 1), (4, 200)])
+def test_edited_passages_of_shared_wording(spark, every, owners):
     shared = [f"s{k}" for k in range(20)]
-    index = leakage.Index([(i, "Do it.\n" + " ".join([*shared, *(f"t{i}x{k}" for k in range(30))])) for i in range(6)])
+    items = spark.createDataFrame([(i, "Do it.\n" + " ".join([*shared, *(f"t{i}x{k}" for k in range(30))])) for i in range(owners)], "item_id long, text string")
     text = " ".join(["before"] * 9 + ["other" if k % every == every - 1 else v for k, v in enumerate(shared)] + ["after"] * 9)
-    assert {r[:2] for r in leakage.leaks_of(index, [7, 8], [text, "quite another text"]) if r[3] >= 19 and r[4] >= 0.7 * r[3]} == {(7, i) for i in range(6)}
+    got = leakage.leaks(texts(spark, [(7, text), (8, "quite another text")]), items, "id").collect()
+    assert {(r["id"], r["item_id"]) for r in got if r["span"] >= 19 and r["matches"] >= 0.7 * r["span"]} == {(7, i) for i in range(owners)}
 
 
-def test_item_blocks_change_nothing(spark, monkeypatch):
-    items = spark.createDataFrame(item_texts(), "item_id long, text string")
-    docs = items.select(F.col("item_id").alias("doc_id"), "text")
-    whole = {tuple(r) for r in leakage.leaks(docs, items).select("doc_id", "item_id").collect()}
-    monkeypatch.setattr(leakage, "ITEMS_PER_PASS", 3)
-    assert {tuple(r) for r in leakage.leaks(docs, items).select("doc_id", "item_id").collect()} == whole == {(k, k) for k in range(20)}
+def isolated_edits(rng, passage, left):
+    """The passage with so many words at most replaced or left out, no two of them beside each other, none at its ends."""
+    at = set()
+    for k in rng.sample(range(1, len(passage) - 1), len(passage) - 2):
+        if len(at) < left and k - 1 not in at and k + 1 not in at:
+            at.add(k)
+    return [w if k not in at else "other" for k, w in enumerate(passage) if k not in at or rng.random() < 0.5]
+
+
+def test_isolated_edits_lose_nothing(spark, monkeypatch):
+    rng = random.Random(88)
+    items = item_texts()
+    rows, want = [], set()
+    for k in range(200):
+        i = rng.randrange(20)
+        own, n = items[i][1].split("\n")[1].split(), rng.randint(22, 40)
+        start = rng.randint(0, 60 - n)
+        passage = isolated_edits(rng, own[start : start + n], int(0.3 * n) - 1)
+        rows.append((k, " ".join([f"x{rng.random()}" for _ in range(rng.randint(0, 60))] + passage + [f"y{rng.random()}" for _ in range(rng.randint(0, 60))])))
+        want.add((k, i))
+    df, stated = texts(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    whole = {tuple(r) for r in leakage.leaks(df, stated, "id").collect()}
+    assert want <= {x[:2] for x in whole}
+    monkeypatch.setattr(leakage, "FILTER_BITS", 1 << 8)  # a filter that lets everything through
+    assert {tuple(r) for r in leakage.leaks(df, stated, "id").collect()} == whole
+
+
+def test_long_gap_on_the_side_of_the_item():
+    a = np.arange(100, 140, dtype=np.uint64)
+    b = np.concatenate([a[:20], np.arange(900, 907, dtype=np.uint64), a[20:]])
+    assert leakage.align([(a, b)]) == [(80 - 7, 47, 40)]
+    assert leakage.align([(a[:0], b), (b, b)])[1] == (2 * len(b), len(b), len(b))
 
 
 # ------------------------------------------------------------------------------------------------ 9

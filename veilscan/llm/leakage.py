@@ -1,10 +1,14 @@
-"""Passages of held-out test items in a corpus: n-gram seeds, then Smith-Waterman alignment.
+"""Passages of held-out test items in a corpus: n-gram seeds join both sides, then Smith-Waterman alignment decides.
 
-Items fall into blocks of bounded size; a block's index goes to all executors, and the corpus is read once per block, so
-no join grows with the corpus and no item set is too large. Seeds are all word pairs and trigrams of the items, however
-many items share them and however often they stand in the corpus. Where trigrams of one item gather in a document, or
-pairs gather near one diagonal, the stretch is aligned with the item, all pairs of a batch at once in numpy; replaced and
-missing words cost a little, and the aligned span of the item's words decides.
+A seed is three words of four consecutive ones, in order: all three in a row, or the second or third of the four left
+out. A passage whose edits are isolated words, replaced or left out, keeps a known number of such seeds near one diagonal
+(``least_seeds``), and they are rare in other texts. So
+  1. the items' seeds go into one bit filter of bounded size, which is sent to all executors,
+  2. the corpus is read once; only stretches of a document with enough filtered seeds close together go on, with the
+     hashes of their words,
+  3. the seeds of stretches and items meet in a hash join, however many items share a seed; pairs of stretch and item with
+     enough seeds near one diagonal are counted by an aggregation,
+  4. those pairs are aligned, all of a batch at once in numpy; the aligned span of the item's words decides.
 """
 
 from __future__ import annotations
@@ -13,24 +17,26 @@ import html
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words
+from ..session import shuffle_partitions, written
+from .words import MIX, Words
 
-SEED = 3  # words of a seed
-SEEDS = 3  # seeds that lead to an alignment
-APART = 40  # words between seeds of one stretch
+PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))  # places of the words of a seed
+WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+MARGIN = 40  # words beside the seeds of a stretch that are aligned too
 STRETCH = 600  # words aligned at once; longer stretches overlap by half
 MATCH, MISS, GAP = 2, -1, -1
-ITEMS_PER_PASS = 2000
-TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
-UNSEEN = re.compile("[­​-‏⁠﻿]")
+FILTER_BITS = 1 << 30  # at most 128 MB are sent around; a fuller filter lets more through, and the join decides
+SLICE_BITS = 1 << 19
+TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 
 
 def plain(text: str) -> str:
@@ -50,145 +56,197 @@ def own_wording(text: str) -> str:
     return rest if sep else head
 
 
-class Index:
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        w = Words([plain(own_wording(t)) for _, t in items])
-        self.words = [w.hash[w.doc == k] for k in range(len(items))]
-        first = np.searchsorted(w.doc, np.arange(len(items)))
-        self.grams = {}
-        for n in (2, SEED):
-            at, keys = w.grams(n)
-            order = np.argsort(keys, kind="stable")
-            at = at[order]
-            keys, start, count = np.unique(keys[order], return_index=True, return_counts=True)
-            self.grams[n] = keys, start, count, w.doc[at], at - first[w.doc[at]]
-
-    def hits(self, w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word of the texts, item, word of the item) of every n-gram they have in common."""
-        own, start, counts, item, place = self.grams[n]
-        at, keys = w.grams(n)
-        k = np.minimum(np.searchsorted(own, keys), max(len(own) - 1, 0))
-        shared = np.flatnonzero(own[k] == keys) if len(own) else k[:0]
-        at, low, count = at[shared], start[k[shared]], counts[k[shared]]
-        k = np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)
-        return np.repeat(at, count), item[k], place[k]
+def seeds_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of every seed of every text, by pattern."""
+    at, keys = [], []
+    for pattern in PATTERNS:
+        n = len(w.hash) - pattern[-1]
+        if n <= 0:
+            continue
+        first = np.flatnonzero(w.doc[:n] == w.doc[pattern[-1] :])
+        at.append(first)
+        keys.append(sum(w.hash[first + k] * x for k, x in zip(pattern, WEIGHTS)))
+    return (np.concatenate(at), np.concatenate(keys)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def least_seeds(least: int, ratio: float) -> tuple[int, int]:
+    """(seeds, words the diagonal moves by at most) of every passage of such a length and share of words in place.
+
+    A passage is a row of pieces of least to 2 * least - 1 words, one of which has the share too. With m of its n words in
+    place and isolated edits, a piece is n - m + 1 runs at most. A run of r > 1 words has r - 2 seeds of its own and one
+    with each run beside it; so all words but single ones and two at the ends begin a seed, 2m - n - 2 at least.
+    """
+    sizes = [(n, math.ceil(n * ratio)) for n in range(least, 2 * least)]
+    return max(1, min(2 * m - n - 2 for n, m in sizes)), max(n - m for n, m in sizes)
+
+
+# ---------------------------------------------------------------------------------------------- the filter
+
+
+def _probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = keys.astype(np.uint64)
+    return (keys * MIX) >> np.uint64(64 - bits.bit_length() + 1), (keys * WEIGHTS[1]) >> np.uint64(64 - bits.bit_length() + 1)
+
+
+def _bits_of(bits: int):
+    """Slices of the filter with the bits of one partition's seeds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slices: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for probe in _probes(np.concatenate([np.zeros(0, np.int64), *batch["keys"]]), bits):
+                for s in np.unique(probe // SLICE_BITS).tolist():
+                    own = slices.setdefault(s, np.zeros(min(bits, SLICE_BITS), bool))
+                    own[(probe[probe // SLICE_BITS == s] % SLICE_BITS).astype(np.int64)] = True
+        yield pd.DataFrame([(s, np.packbits(own).tobytes()) for s, own in slices.items()], columns=["slice", "bits"])
+
+    return run
+
+
+def _either(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"slice": rows["slice"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]]).tobytes()]})
+
+
+def seed_filter(items: DataFrame, n_seeds: int) -> np.ndarray:
+    """Packed bits that every seed of the items sets; FILTER_BITS at most, whatever the number of items."""
+    bits = min(FILTER_BITS, 1 << max(16, (16 * n_seeds).bit_length()))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in items.select("keys").mapInPandas(_bits_of(bits), "slice long, bits binary").groupBy("slice").applyInPandas(_either, "slice long, bits binary").collect():
+        out[r["slice"] * SLICE_BITS // 8 :][: min(bits, SLICE_BITS) // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _passes(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    ok = np.arange(len(keys))
+    for k in (0, 1):
+        probe = _probes(keys[ok], len(packed) * 8)[k].astype(np.int64)
+        ok = ok[(packed[probe >> 3] >> (7 - (probe & 7)).astype(np.uint8)) & 1 == 1]
+    return ok
+
+
+# ---------------------------------------------------------------------------------------------- both sides of the join
+
+
+def item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per item its words and seeds, as hashes."""
+    for batch in batches:
+        w = Words([plain(own_wording(t)) for t in batch["t"]])
+        at, keys = seeds_of(w)
+        first, last = (np.searchsorted(w.doc, np.arange(len(batch)), side) for side in ("left", "right"))
+        whose = w.doc[at]
+        own = [np.flatnonzero(whose == k) for k in range(len(batch))]
+        yield pd.DataFrame({"item": batch["i"], "item_words": [w.hash[a:b].view(np.int64) for a, b in zip(first, last)], "keys": [keys[o].view(np.int64) for o in own], "places": [(at[o] - first[k]).astype(np.int32) for k, o in enumerate(own)]})
+
+
+def stretches_of(packed: np.ndarray, texts: list[str], need: int, within: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, word hashes, seeds, their places) of every stretch where so many filtered seeds begin within so many words."""
+    w = Words([plain(t) for t in texts])
+    at, keys = seeds_of(w)
+    ok = _passes(packed, keys)
+    ok = ok[np.argsort(at[ok], kind="stable")]
+    at, keys = at[ok], keys[ok]
+    n = len(at) - need + 1
+    if n <= 0:
+        return []
+    full = np.flatnonzero((at[need - 1 :] - at[:n] < within) & (w.doc[at[:n]] == w.doc[at[need - 1 :]]))
+    kept = np.zeros(len(at), bool)
+    for k in range(need):
+        kept[full + k] = True
+    at, keys = at[kept], keys[kept]
+    if not len(at):
+        return []
+    first, last = (np.searchsorted(w.doc, np.arange(len(texts)), side) for side in ("left", "right"))
+    out = []
+    cuts = np.flatnonzero((np.diff(at) > MARGIN) | (np.diff(w.doc[at]) > 0)) + 1
+    for part in np.split(np.arange(len(at)), cuts):
+        doc = int(w.doc[at[part[0]]])
+        a, b = max(int(at[part[0]]) - MARGIN, first[doc]), min(int(at[part[-1]]) + 4 + MARGIN, last[doc])
+        while True:
+            end = min(a + STRETCH, b)
+            some = part[(at[part] >= a) & (at[part] < end)]
+            if len(some) >= need:
+                out.append((doc, w.hash[a:end], keys[some], at[some] - a))
+            if end == b:
+                break
+            a += STRETCH // 2
+    return out
+
+
+# ---------------------------------------------------------------------------------------------- alignment
+
+
+def promising(pairs: list[tuple[np.ndarray, np.ndarray]], least: int, ratio: float) -> np.ndarray:
+    """Whether so large a share of the item's words in some window stands in the stretch at all, in whatever order; a
+    passage has a piece of least to 2 * least - 1 item words with the share, so nothing that aligns is lost."""
+    out = np.zeros(len(pairs), bool)
+    order = np.argsort([len(b) for _, b in pairs], kind="stable")
+    for some in np.split(order, range(512, len(order), 512)):
+        there = np.zeros((len(some), max((len(pairs[i][1]) for i in some), default=0) + 1), np.int32)
+        for row, i in zip(there, some):
+            a, b = pairs[i]
+            row[1 : len(b) + 1] = np.isin(b, a)
+        np.cumsum(there, axis=1, out=there)
+        for n in range(least, min(2 * least, there.shape[1])):
+            out[some] |= (there[:, n:] - there[:, :-n]).max(axis=1) >= n * ratio
+    return out
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
-    """(score, span of item words, matches) of the best local alignment of each (stretch, item)."""
+    """(score, span of item words, matches) of the best local alignment of each (stretch, item).
+
+    Gaps cost one a word on either side and may have any length: along the item they are a running maximum of score plus
+    place. Score, first item word and matches of a way go together in one integer.
+    """
     if not pairs:
         return []
-    rows, cols = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
-    n = len(pairs)
+    rows, cols, n = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs), len(pairs)
     text, item = np.zeros((n, rows), np.uint64), np.zeros((n, cols), np.uint64)
     filled = np.zeros((n, cols), bool)
     for k, (a, b) in enumerate(pairs):
         text[k, : len(a)], item[k, : len(b)], filled[k, : len(b)] = a, b, True
         text[k, len(a) :] = 1  # equals no item word of consequence
-    kind = np.int16 if MATCH * max(rows, cols) < 30_000 else np.int32  # narrow numbers take less time
-    place = np.arange(cols, dtype=np.int64 if cols >> 19 else np.int32) << 12  # the first item word, and below it the matches
-    score = np.zeros((n, cols + 1), kind)
-    path = np.zeros((n, cols + 1), place.dtype)
-    best = np.zeros((n, 3), np.int32)
+    # matches below (12 bits), the distance of the first word from the end above (24 bits), and the score on top
+    one, unit = np.int64(1) << 36, (np.int64(1) << 36) - 1
+    start = (np.int64(cols) - np.arange(cols, dtype=np.int64)) << 12
+    ramp = np.arange(cols, dtype=np.int64) * one * -GAP
+    cell = np.zeros((n, cols + 1), np.int64)
+    best = np.zeros(n, np.int64)
+    where = np.zeros(n, np.int64)
     r = np.arange(n)
     for i in range(rows):
         same = (item == text[:, i : i + 1]) & filled
-        new = score[:, :-1] + (same.view(np.int8) * np.int8(MATCH - MISS) + np.int8(MISS))
-        way = np.where(score[:, :-1] > 0, path[:, :-1], place) + same
-        up = score[:, 1:] + kind(GAP)
-        np.copyto(way, path[:, 1:], where=up > new)
-        np.maximum(new, up, out=new)
-        for g in (1, 2, 3):  # item words left out
-            side = new[:, :-g] + kind(g * GAP)
-            higher = side > new[:, g:]
-            if higher.any():
-                np.copyto(way[:, g:], way[:, :-g].copy(), where=higher)
-                np.maximum(new[:, g:], side, out=new[:, g:])
-        np.maximum(new, 0, out=new)
-        score[:, 1:], path[:, 1:] = new, way
+        left = cell[:, :-1]
+        new = np.where(left >= one, left, start)
+        new += np.where(same, MATCH * one + 1, MISS * one)
+        np.maximum(new, cell[:, 1:] + GAP * one, out=new)
+        new += ramp
+        np.maximum.accumulate(new, axis=1, out=new)
+        new -= ramp
+        new[new < one] = 0
+        cell[:, 1:] = new
         top = new.argmax(axis=1)
         high = new[r, top]
-        better = np.flatnonzero(high > best[:, 0])
-        top, way = top[better], way[better, top[better]]
-        best[better] = np.stack([high[better], top - (way >> 12) + 1, way & 4095], axis=1)
-    return [tuple(x) for x in best.tolist()]
+        better = high >> 36 > best >> 36
+        best[better], where[better] = high[better], top[better]
+    score, way = best >> 36, best & unit
+    return [(int(s), int(t - (cols - (p >> 12)) + 1) if s else 0, int(p & 4095)) for s, t, p in zip(score, where, way)]
 
 
-def _stretches(places: np.ndarray, least: int) -> list[tuple[int, int]]:
-    out, cuts = [], np.flatnonzero(np.diff(places) > APART) + 1
-    for part in np.split(places, cuts):
-        if len(part) < least:
-            continue
-        a, b = int(part[0]) - APART, int(part[-1]) + SEED + APART
-        while b - a > STRETCH:
-            out.append((a, a + STRETCH))
-            a += STRETCH // 2
-        out.append((a, b))
-    return out
+def _aligned(least: int, ratio: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = [(np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64)) for a, b in zip(batch["words"], batch["item_words"])]
+            keep = np.flatnonzero(promising(pairs, least, ratio)).tolist()
+            keep.sort(key=lambda i: (len(pairs[i][1]) // 8, len(pairs[i][0])))
+            rows = []
+            for k in range(0, len(keep), 128):
+                some = keep[k : k + 128]
+                rows += [(i, *got) for i, got in zip(some, align([pairs[j] for j in some])) if got[1] >= least and got[2] >= got[1] * ratio]
+            out = pd.DataFrame(rows, columns=["k", "score", "span", "matches"])
+            at = out.pop("k").to_numpy(int)
+            yield pd.DataFrame({"row": batch["row"].to_numpy()[at], "id": batch["id"].to_numpy()[at], "item": batch["item"].to_numpy()[at]}).join(out)
 
-
-def _near_diagonal(pair: np.ndarray, word: np.ndarray, place: np.ndarray, least: int, ratio: float) -> np.ndarray:
-    """Whether a shared word pair belongs to a group that every passage of such a length and ratio holds.
-
-    A passage is a row of pieces of least to 2 * least - 1 words, one of which has the ratio too. With m of its n words in
-    place, a piece keeps m words in at most n - m + 1 runs, thus 2m - n - 1 pairs; its words left out move the diagonal by
-    n - m at most, and half overlapping bands of twice that width hold any such move.
-    """
-    sizes = [(n, math.ceil(n * ratio)) for n in range(least, 2 * least)]
-    need, step = max(1, min(2 * m - n - 1 for n, m in sizes)), max(n - m for n, m in sizes) + 1
-    out = np.zeros(len(word), bool)
-    for phase in (0, 1) if len(word) >= need else ():
-        band = ((place - word) // step + phase) // 2
-        order = np.lexsort((word, band, pair))
-        p, b, at = pair[order], band[order], word[order]
-        fresh = np.concatenate([[True], (np.diff(p) != 0) | (np.diff(b) != 0) | (np.diff(at) != 0)])
-        rank = np.cumsum(fresh) - 1
-        p, b, at = p[fresh], b[fresh], at[fresh]
-        n = len(at) - need + 1
-        if n <= 0:
-            continue
-        full = np.flatnonzero((p[:n] == p[need - 1 :]) & (b[:n] == b[need - 1 :]) & (at[need - 1 :] - at[:n] < max(APART, 2 * least)))
-        kept = np.zeros(len(at), bool)
-        for k in range(need):
-            kept[full + k] = True
-        out[order] |= kept[rank]
-    return out
-
-
-def leaks_of(index: Index, ids: list, texts: list[str], least: int = 19, ratio: float = 0.7) -> list[tuple]:
-    w = Words([plain(t) for t in texts])
-    if not len(w.hash):
-        return []
-    n = len(index.ids)
-    stretches: defaultdict = defaultdict(set)
-
-    def gather(pair: np.ndarray, word: np.ndarray, least: int) -> None:
-        pair, word = np.divmod(np.unique(pair * len(w.hash) + word), len(w.hash))
-        for places, p in zip(np.split(word, np.flatnonzero(np.diff(pair)) + 1), np.unique(pair).tolist()):
-            if len(places) >= least:
-                stretches[divmod(p, n)].update(_stretches(places, least))
-
-    word, item, _ = index.hits(w, SEED)
-    gather(w.doc[word] * n + item, word, SEEDS)
-    word, item, place = index.hits(w, 2)
-    pair = w.doc[word] * n + item
-    near = _near_diagonal(pair, word, place, least, ratio)
-    gather(pair[near], word[near], 1)
-    first, last = np.searchsorted(w.doc, np.arange(len(texts))), np.searchsorted(w.doc, np.arange(len(texts)), "right")
-    pairs, whose = [], []
-    for (doc, item), some in stretches.items():
-        for a, b in {(max(a, first[doc]), min(b, last[doc])) for a, b in some}:
-            pairs.append((w.hash[a:b], index.words[item]))
-            whose.append((doc, item))
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]) // 8, len(pairs[i][0])))
-    for i in range(0, len(order), 128):
-        some = order[i : i + 128]
-        for j, got in zip(some, align([pairs[j] for j in some])):
-            if got[1] >= least and got[2] >= got[1] * ratio:
-                best[whose[j]] = max(best.get(whose[j], (0, 0, 0)), got)
-    return [(ids[doc], index.ids[item], *got) for (doc, item), got in best.items()]
+    return run
 
 
 def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least_span: int = 20, slack: int = 1, least_matches: float = 0.7) -> DataFrame:
@@ -196,28 +254,40 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     span is the number of the item's own words the passage reaches over. An edited word at the edge of a passage cannot be
     aligned, hence slack. Null and empty documents leak nothing, nor do items without words of their own; repeated rows
-    give repeated rows. Items are a stated query set; they are taken to the driver in blocks of ITEMS_PER_PASS.
+    give repeated rows. Neither the corpus nor the items reach the driver, only the filter of bounded size does.
     """
     spark = documents.sparkSession
+    least = max(least_span - slack, 1)
+    need, drift = least_seeds(least, least_matches)
     kind = documents.schema[id_col].dataType.simpleString()
-    corpus = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     stated = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
-    blocks = -(-stated.count() // ITEMS_PER_PASS)
-    schema = f"id {kind}, item_id long, score int, span int, matches int"
-    out = None
-    for k in range(blocks):
-        block = stated.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()
-        index = Index([(r["i"], r["t"]) for r in block])
-
-        def run(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                cut = (batch["text"].str.len().cumsum() // 2_000_000).to_numpy()
-                for c in np.unique(cut):
-                    part = batch[cut == c]
-                    yield pd.DataFrame(leaks_of(index, part["id"].tolist(), part["text"].tolist(), max(least_span - slack, 1), least_matches), columns=["id", "item_id", "score", "span", "matches"])
-
-        found = corpus.mapInPandas(run, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return out.where((F.col("span") >= least_span - slack) & (F.col("matches") >= F.col("span") * least_matches)).withColumnRenamed("id", id_col)
+    own = written(stated.mapInPandas(item_rows, "item long, item_words array<long>, keys array<long>, places array<int>"), "leak-items")
+    n_seeds = own.agg(F.sum(F.size("keys"))).first()[0] or 0
+    schema = f"row long, id {kind}, stretch int, words array<long>, keys array<long>, at array<int>"
+    if not n_seeds:
+        return spark.createDataFrame([], f"`{id_col}` {kind}, item_id long, score int, span int, matches int")
+    packed = spark.sparkContext.broadcast(seed_filter(own, n_seeds))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = TaskContext.get().partitionId() << 33  # every row of the input is a document of its own
+        for batch in batches:
+            cut = (batch["text"].str.len().cumsum() // 2_000_000).to_numpy()
+            for c in np.unique(cut):
+                ids, texts = (batch[x][cut == c].tolist() for x in ("id", "text"))
+                found = stretches_of(packed.value, texts, need, 2 * least)
+                yield pd.DataFrame([(row + doc, ids[doc], k, words.view(np.int64), keys.view(np.int64), at.astype(np.int32)) for k, (doc, words, keys, at) in enumerate(found)], columns=["row", "id", "stretch", "words", "keys", "at"])
+                row += len(texts)
+
+    corpus = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    stretches = written(corpus.mapInPandas(run, schema), "leak-stretches")
+    ours = own.select("item", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place")))).toDF("item", "key", "place")
+    theirs = stretches.select("row", "stretch", F.inline(F.arrays_zip("keys", "at"))).toDF("row", "stretch", "key", "at")
+    step = drift + 1  # half overlapping bands of twice the width hold any such move of the diagonal
+    bands = F.explode(F.transform(F.array(F.lit(0), F.lit(1)), lambda p: F.struct(p.alias("phase"), F.floor((F.floor((F.col("place") - F.col("at")) / step) + p) / 2).alias("band"))))
+    near = theirs.join(ours, "key").select("row", "stretch", "item", bands.alias("b")).groupBy("row", "stretch", "item", "b").count().where(F.col("count") >= need)
+    pairs = near.select("row", "stretch", "item").distinct()
+    # a fixed number of partitions: the rows are small, but each is an alignment
+    both = pairs.repartition(shuffle_partitions(spark), "row", "stretch").join(stretches.select("row", "id", "stretch", "words"), ["row", "stretch"]).join(own.select("item", "item_words"), "item")
+    found = both.select("row", "id", "item", "words", "item_words").mapInPandas(_aligned(least, least_matches), f"row long, id {kind}, item long, score int, span int, matches int")
+    best = found.groupBy("row", "item").agg(F.first("id").alias(id_col), F.max(F.struct("score", "span", "matches")).alias("best"))
+    return best.select(id_col, F.col("item").alias("item_id"), "best.score", "best.span", "best.matches")
