@@ -233,10 +233,42 @@ def test_top_n_against_pandas(spark):
     assert [(r["k"], r["rank"]) for r in topn.top_n_by_group(twice, "grp", "score", "k", 2).orderBy("rank").collect()] == [(5, 1), (1, 2)]
 
 
-def test_hot_row_groups_are_not_opened(spark, monkeypatch):
+def opened(monkeypatch, path, names, n):
+    """(result of each file, number of row groups read, number there are)"""
+    import pyarrow.parquet as pq
+
+    files = sorted(f"file://{path}/{f}" for f in os.listdir(path) if f.endswith(".parquet"))
+    read, real = [], pq.ParquetFile.read_row_group
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", lambda self, k, columns: (len(columns) > 1 and read.append(k), real(self, k, columns=columns))[1])
+    best = [topn.best_of_file(topn.footers(files, [k], names), n, names, float("-inf"), float("inf")) for k in range(len(files))]
+    return best, len(read), sum(pq.ParquetFile(f[7:]).metadata.num_row_groups for f in files)
+
+
+def test_hot_row_groups_are_not_opened(spark, monkeypatch, tmp_path):
     df = spark.range(40000).select(F.lit("hot").alias("grp"), F.col("id").cast("double").alias("score"), "id")
     got = topn.top_n_by_group(df, "grp", "score", "id", 3, row_group_bytes=4096).orderBy("rank").collect()
     assert [r["id"] for r in got] == [39999, 39998, 39997]
+    df.orderBy(F.desc("score")).coalesce(1).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "t"))
+    (best,), read, there = opened(monkeypatch, str(tmp_path / "t"), ["grp", "score", "id"], 3)
+    assert best["t"].tolist() == [39999, 39998, 39997] and read == 1 and there > 5
+
+
+def test_row_groups_that_groups_share_are_not_opened(spark, monkeypatch, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    parts = [[("a", 9.0, 1), ("a", 8.0, 2), ("b", 9.0, 3), ("b", 7.0, 4)], [("a", 6.0, 5), ("b", 5.0, 6)], [("a", 6.5, 7), ("b", 6.5, 8), ("aa", 1.0, 9)], [("b", 7.0, 0), ("c", 2.0, 1)], [("a", None, 3), (None, 3.0, 1)]]
+    schema = pa.schema([("grp", pa.string()), ("score", pa.float64()), ("id", pa.int64())])
+    os.makedirs(tmp_path / "t")
+    with pq.ParquetWriter(tmp_path / "t" / "x.parquet", schema) as w:
+        for rows in parts:
+            w.write_table(pa.table(dict(zip(schema.names, zip(*rows))), schema=schema))
+    want = {("a", 1), ("a", 2), ("b", 3), ("b", 0), ("aa", 9), ("c", 1)}
+    got = topn.top_n_of_files(spark, str(tmp_path / "t"), "grp", "score", "id", 2).collect()
+    assert {(r["grp"], r["id"]) for r in got} == want
+    (best,), read, there = opened(monkeypatch, str(tmp_path / "t"), ["grp", "score", "id"], 2)
+    # the second and the fifth stay closed; the third holds aa too, and the fourth a score equal to the N-th of b
+    assert set(zip(best["g"], best["t"])) == want and (read, there) == (3, 5)
 
 
 # ------------------------------------------------------------------------------------------------ 7
