@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veilscan.llm import history, leakage, mojibake, pii, repetition, scanned, secrets, tokenize, topn
+from veilscan.llm import history, leakage, mojibake, pii, repetition, scanned, secrets, tokenize, topn, words
 
 LONG = "lorem ipsum dolor " * 30_000
 
@@ -396,7 +396,7 @@ def test_isolated_edits_lose_nothing(spark, monkeypatch):
     df, stated = texts(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     whole = {tuple(r) for r in leakage.leaks(df, stated, "id").collect()}
     assert want <= {x[:2] for x in whole}
-    monkeypatch.setattr(leakage, "FILTER_BITS", 1 << 8)  # a filter that lets everything through
+    monkeypatch.setattr(words, "FILTER_BITS", 1 << 8)  # a filter that lets everything through
     assert {tuple(r) for r in leakage.leaks(df, stated, "id").collect()} == whole
 
 

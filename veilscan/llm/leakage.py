@@ -26,15 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions, written
-from .words import MIX, Words
+from .words import Words, key_filter, passing
 
 PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))  # places of the words of a seed
 WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 MARGIN = 40  # words beside the seeds of a stretch that are aligned too
 STRETCH = 600  # words aligned at once; longer stretches overlap by half
 MATCH, MISS, GAP = 2, -1, -1
-FILTER_BITS = 1 << 30  # at most 128 MB are sent around; a fuller filter lets more through, and the join decides
-SLICE_BITS = 1 << 19
 TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 
@@ -80,50 +78,6 @@ def least_seeds(least: int, ratio: float) -> tuple[int, int]:
     return max(1, min(2 * m - n - 2 for n, m in sizes)), max(n - m for n, m in sizes)
 
 
-# ---------------------------------------------------------------------------------------------- the filter
-
-
-def _probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = keys.astype(np.uint64)
-    return (keys * MIX) >> np.uint64(64 - bits.bit_length() + 1), (keys * WEIGHTS[1]) >> np.uint64(64 - bits.bit_length() + 1)
-
-
-def _bits_of(bits: int):
-    """Slices of the filter with the bits of one partition's seeds."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slices: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for probe in _probes(np.concatenate([np.zeros(0, np.int64), *batch["keys"]]), bits):
-                for s in np.unique(probe // SLICE_BITS).tolist():
-                    own = slices.setdefault(s, np.zeros(min(bits, SLICE_BITS), bool))
-                    own[(probe[probe // SLICE_BITS == s] % SLICE_BITS).astype(np.int64)] = True
-        yield pd.DataFrame([(s, np.packbits(own).tobytes()) for s, own in slices.items()], columns=["slice", "bits"])
-
-    return run
-
-
-def _either(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"slice": rows["slice"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]]).tobytes()]})
-
-
-def seed_filter(items: DataFrame, n_seeds: int) -> np.ndarray:
-    """Packed bits that every seed of the items sets; FILTER_BITS at most, whatever the number of items."""
-    bits = min(FILTER_BITS, 1 << max(16, (16 * n_seeds).bit_length()))
-    out = np.zeros(bits // 8, np.uint8)
-    for r in items.select("keys").mapInPandas(_bits_of(bits), "slice long, bits binary").groupBy("slice").applyInPandas(_either, "slice long, bits binary").collect():
-        out[r["slice"] * SLICE_BITS // 8 :][: min(bits, SLICE_BITS) // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _passes(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    ok = np.arange(len(keys))
-    for k in (0, 1):
-        probe = _probes(keys[ok], len(packed) * 8)[k].astype(np.int64)
-        ok = ok[(packed[probe >> 3] >> (7 - (probe & 7)).astype(np.uint8)) & 1 == 1]
-    return ok
-
-
 # ---------------------------------------------------------------------------------------------- both sides of the join
 
 
@@ -142,7 +96,7 @@ def stretches_of(packed: np.ndarray, texts: list[str], need: int, within: int) -
     """(text, word hashes, seeds, their places) of every stretch where so many filtered seeds begin within so many words."""
     w = Words([plain(t) for t in texts])
     at, keys = seeds_of(w)
-    ok = _passes(packed, keys)
+    ok = passing(packed, keys)
     ok = ok[np.argsort(at[ok], kind="stable")]
     at, keys = at[ok], keys[ok]
     n = len(at) - need + 1
@@ -266,7 +220,7 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     schema = f"row long, id {kind}, stretch int, words array<long>, keys array<long>, at array<int>"
     if not n_seeds:
         return spark.createDataFrame([], f"`{id_col}` {kind}, item_id long, score int, span int, matches int")
-    packed = spark.sparkContext.broadcast(seed_filter(own, n_seeds))
+    packed = spark.sparkContext.broadcast(key_filter(own.select(F.explode("keys").alias("key")), n_seeds))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = TaskContext.get().partitionId() << 33  # every row of the input is a document of its own

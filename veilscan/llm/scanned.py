@@ -9,14 +9,17 @@ join words split over line ends, and reflow lines into paragraphs.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .words import key_filter, passing
 
 #: What scanning makes of letters, several signs for one first (fixed values).
 GROUPS = [("vv", "w"), ("rn", "m"), ("nn", "m"), ("ii", "u"), ("li", "h"), ("cl", "d"), ("ьl", "ы"), ("ьi", "ы"), ("гі", "п"), ("jl", "л")]
@@ -25,9 +28,13 @@ SINGLE_LAT = {ord("8"): "b", ord("6"): "b", ord("0"): "o", ord("1"): "l", ord("!
 CYRILLIC = re.compile("[Ѐ-ӿ]")
 TOKEN = re.compile(r"[\w!|]*[^\W\d_][\w!|]*(?:-[^\W\d_]+)*")
 MAILBOX = re.compile(r"(?<!\S)\S*(?:@|://|\S\[(?:at|dot)\])\S*")
+LINE_END = re.compile(r"\r\n|[\n\x0c\r]")
 SIGNS = "-¬‐\xad"
 BREAK = re.compile(rf"([^\W\d_]+)([{SIGNS}])[ \t]*\r?\n[ \t]*([^\W\d_]+)")
 RATIO, SUPPORTED_RATIO, LEAST = 20, 4, 4
+SHORTEST = 3  # letters of a word that counts as misread; shorter ones differ in a sign from too many others
+PAGE_EDGE = 4  # lines (titles, numbers, empty ones) over which a word split at a page end goes on
+KEPT = 300_000  # counts of words held in a task before they are passed on; a flush, no bound
 
 _WORDS = r"(?:page|pagc|paqe|seite|scite|página|pagina|страница|стр\.?|лист|p\.|pág\.?|pag\.?|s\.|bl\.|blatt|folio|hoja|feuillet)"
 _OF = r"(?:of|0f|von|v0n|de|dc|из|нз|sur|/)"
@@ -87,7 +94,7 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for table, i, scope, page, text in zip(batch["source_table"], batch["record_id"], batch["scope"], batch["page"], batch["text"]):
-            lines = re.split(r"\r\n|[\n\x0c\r]", text)
+            lines = LINE_END.split(text)
             filled = [k for k, x in enumerate(lines) if x.strip()]
             edge = set(filled[:2]) | set(filled[-2:]) if page else set(filled)
             for k, (key, numbered) in enumerate(look(lines)):
@@ -102,7 +109,7 @@ def _breaks(text: str) -> Iterator[tuple[str, str, str]]:
     """(left, sign, right) of words that go on in a later line, also where a page ends in between."""
     if not any(sign + "\n" in text or sign + " \n" in text or sign + "\r" in text or sign + "\x0c" in text for sign in SIGNS):
         return
-    lines = re.split(r"\r\n|[\n\x0c\r]", text)
+    lines = LINE_END.split(text)
     seen = None
     for k, line in enumerate(lines[:-1]):
         m = re.search(rf"([^\W\d_]+)([{SIGNS}])\s*$", line)
@@ -111,30 +118,60 @@ def _breaks(text: str) -> Iterator[tuple[str, str, str]]:
         after = k + 1
         if not re.match(r"\s*[^\W\d_]", lines[after]) or not lines[after].lstrip()[0].islower():
             seen = seen or look(lines)
-            while after < min(k + 5, len(lines)) and (seen[after][0] or seen[after][1] or not lines[after].strip()):
+            while after < min(k + 1 + PAGE_EDGE, len(lines)) and (seen[after][0] or seen[after][1] or not lines[after].strip()):
                 after += 1
         n = re.match(r"\s*([^\W\d_]+)", lines[after]) if after < len(lines) else None
         if n and n[1][0].islower():
             yield m[1], m[2], n[1]
 
 
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words of each text with skeleton and the word before (kind t), and words split over a line end (kind h): those as
-    joined word, with the hyphenated form in skel and the sign in before."""
+def _words(text: str) -> Iterator[tuple[str, str]]:
+    """(word, word before) of a text, with words split over line ends joined and addresses left out."""
+    whole = BREAK.sub(lambda m: m[1] + ("" if m[3][0].islower() else "-") + m[3], MAILBOX.sub(" ", text) if "@" in text or "://" in text or "[at]" in text or "[dot]" in text else text)
+    before = ""
+    for w in TOKEN.findall(whole.lower() if len(whole.lower()) == len(whole) else whole):
+        w = w.strip("!|_").lower()
+        if len(w) >= SHORTEST:
+            yield w, before
+        before = w
+
+
+MARKS = "kind string, source_table string, record_id long, scope string, line_no int, a string, b string, c string, n long"
+MARK_COLUMNS = [c.split()[0] for c in MARKS.split(", ")]
+
+
+def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All that one reading of the texts tells, by kind: title (a: its key) and number, lines that look like it; break, a
+    word split over a line end (a: joined, b: with its hyphen, c: the sign); and count, how many texts of this task hold a
+    word after another (a: word, b: before, c: skeleton), summed before anything is written or shuffled."""
+    counts: Counter = Counter()
+
+    def flush() -> pd.DataFrame:
+        rows = [("count", None, None, None, None, w, b, skeleton(w), n) for (w, b), n in counts.items()]
+        counts.clear()
+        return frame(rows)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.array(v, dtype={"record_id": "Int64", "line_no": "Int32", "n": "Int64"}.get(c, object)) for c, v in zip(MARK_COLUMNS, zip(*rows))}) if rows else pd.DataFrame(columns=MARK_COLUMNS)
+
     for batch in batches:
         rows = []
-        for table, i, text in zip(batch["source_table"], batch["record_id"], batch["text"]):
-            seen = set()
-            rows += [(table, i, "h", (left + right).lower(), f"{left}-{right}".lower(), sign) for left, sign, right in _breaks(text)]
-            whole = BREAK.sub(lambda m: m[1] + ("" if m[3][0].islower() else "-") + m[3], MAILBOX.sub(" ", text) if "@" in text or "://" in text or "[at]" in text or "[dot]" in text else text)
-            before = ""
-            for w in TOKEN.findall(whole):
-                w = w.strip("!|_").lower()
-                if len(w) >= 3 and (w, before) not in seen:
-                    seen.add((w, before))
-                    rows.append((table, i, "t", w, skeleton(w), before))
-                before = w
-        yield pd.DataFrame(rows, columns=["source_table", "record_id", "kind", "word", "skel", "before"])
+        for table, i, scope, page, text in zip(batch["source_table"], batch["record_id"], batch["scope"], batch["page"], batch["text"]):
+            counts.update(set(_words(text)))
+            lines = LINE_END.split(text)
+            filled = [k for k, x in enumerate(lines) if x.strip()]
+            edge = set(filled[:2]) | set(filled[-2:]) if page else set(filled)
+            seen = look(lines)
+            for k, (key, numbered) in enumerate(seen):
+                if k in edge and key:
+                    rows.append(("title", table, i, scope, k, key, None, None, None))
+                if k in edge and numbered:
+                    rows.append(("number", table, i, scope, k, None, None, None, None))
+            rows += [("break", table, i, scope, None, (left + right).lower(), f"{left}-{right}".lower(), sign, None) for left, sign, right in _breaks(text)]
+        yield frame(rows)
+        if len(counts) > KEPT:
+            yield flush()
+    yield flush()
 
 
 def _odd(word: Column) -> Column:
@@ -147,9 +184,9 @@ def _pages(texts: DataFrame) -> DataFrame:
     return texts.select("source_table", F.col("record_id").cast("long").alias("record_id"), "scope", "page", "text").where(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
 
 
-def counted(tokens: DataFrame) -> DataFrame:
-    """(skel, word, before, n): how often each word follows each word; all counts of words come from this one table."""
-    return written(tokens.where("kind = 't'").groupBy("skel", "word", "before").agg(F.count("*").alias("n")), "scanned-counts")
+def counted(marks: DataFrame) -> DataFrame:
+    """(skel, word, before, n): how many texts hold each word after each word; all counts of words come from this table."""
+    return written(marks.where("kind = 'count'").groupBy(F.col("c").alias("skel"), F.col("a").alias("word"), F.col("b").alias("before")).agg(F.sum("n").alias("n")), "scanned-counts")
 
 
 def misread_words(counts: DataFrame) -> DataFrame:
@@ -178,13 +215,39 @@ def misread_words(counts: DataFrame) -> DataFrame:
     return pairs.where("sure").select("word", "meant").unionByName(supported.select("word", "meant"))
 
 
-def split_words(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+def misread_in(pages: DataFrame, misread: DataFrame) -> DataFrame:
+    """(source_table, record_id, word, meant): the misread words of each text. The texts are read once more; only words that
+    pass a filter of bounded size leave the task, so that a word misread everywhere costs a row a text and no more."""
+    spark = pages.sparkSession
+    misread = written(misread, "scanned-misread")
+    packed = spark.sparkContext.broadcast(key_filter(misread.select(F.xxhash64("word").alias("key")), misread.count()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        known: dict[str, bool] = {}
+        for batch in batches:
+            per_text = [{w for w, _ in _words(t)} for t in batch["text"]]
+            if new := [w for w in set().union(*per_text) if w not in known]:
+                keys = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in new), np.uint64, len(new))
+                there = np.zeros(len(new), bool)
+                there[passing(packed.value, keys)] = True
+                if len(known) > KEPT:
+                    known = {w: known[w] for some in per_text for w in some if w in known}
+                known.update(zip(new, there.tolist()))
+            rows = [(table, i, w) for table, i, some in zip(batch["source_table"], batch["record_id"], per_text) for w in some if known[w]]
+            yield pd.DataFrame(rows, columns=["source_table", "record_id", "word"])
+
+    return pages.mapInPandas(run, "source_table string, record_id long, word string").join(misread, "word")
+
+
+def split_words(marks: DataFrame, counts: DataFrame) -> DataFrame:
     """(source_table, record_id, word, skel): words split over a line end that are no compounds with a hyphen of their own.
 
     Signs that only stand for a break always count. A plain hyphen counts where the joined word stands elsewhere, or where
     the hyphenated form does not.
     """
-    broken = tokens.where(F.col("kind") == "h").select("source_table", "record_id", "word", "skel", "before").distinct()
+    broken = marks.where("kind = 'break'").select("source_table", "record_id", F.col("a").alias("word"), F.col("b").alias("skel"), F.col("c").alias("before")).distinct()
     asked = broken.where(F.col("before") == "-")
     wanted = asked.select("word").union(asked.select("skel")).distinct()
     seen = counts.join(wanted, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
@@ -196,17 +259,19 @@ def split_words(tokens: DataFrame, counts: DataFrame) -> DataFrame:
     return broken.where(F.col("before") != "-").unionByName(split.select(broken.columns)).select("source_table", "record_id", "word", "skel")
 
 
-def running_titles(lines: DataFrame) -> DataFrame:
-    """(scope, title): title lines that stand on two pages of a scope at least."""
-    return lines.where(F.col("title").isNotNull()).groupBy("scope", "title").agg(F.countDistinct("record_id", "line_no").alias("k"), F.countDistinct("record_id").alias("records")).where((F.col("k") >= 2) & ((F.col("records") >= 2) | F.startswith("scope", F.lit("text:")))).select("scope", "title")
+def running_titles(marks: DataFrame) -> DataFrame:
+    """(scope, title): title lines that stand on two pages of a scope at least; extremes are folded map-side."""
+    place = F.struct("record_id", "line_no")
+    seen = marks.where("kind = 'title'").groupBy("scope", F.col("a").alias("title")).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    apart = F.when(F.startswith("scope", F.lit("text:")), F.col("first") != F.col("last")).otherwise(F.col("first.record_id") != F.col("last.record_id"))
+    return seen.where(apart).select("scope", "title")
 
 
 def analysed(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables of the lines, the words and their counts of (source_table, record_id, scope, page, text)."""
+    """The texts that hold something, and written tables of what stands in them and of the counts of their words."""
     pages = _pages(texts)
-    lines = written(pages.mapInPandas(_lines, LINES), "scanned-lines")
-    tokens = written(pages.mapInPandas(_tokens, "source_table string, record_id long, kind string, word string, skel string, before string"), "scanned-words")
-    return lines, tokens, counted(tokens)
+    marks = written(pages.mapInPandas(_marks, MARKS), "scanned-marks")
+    return pages, marks, counted(marks)
 
 
 def noise(texts: DataFrame) -> DataFrame:
@@ -215,27 +280,28 @@ def noise(texts: DataFrame) -> DataFrame:
     texts: source_table, record_id, scope (what the pages of one scan share), page (whether the text is one page), text.
     Null, empty and blank texts have none; repeated rows count once.
     """
-    lines, tokens, counts = analysed(texts)
+    pages, marks, counts = analysed(texts)
     key = ["source_table", "record_id"]
-    headers = lines.join(running_titles(lines), ["scope", "title"], "left_semi").select(*key).distinct().withColumn("noise", F.lit("running_header"))
-    numbers = lines.where("numbered").select(*key).distinct().withColumn("noise", F.lit("page_number"))
-    breaks = split_words(tokens, counts).select(*key).distinct().withColumn("noise", F.lit("hyphen_break"))
-    misread = tokens.where("kind = 't'").join(misread_words(counts), "word").select(*key).distinct().withColumn("noise", F.lit("ocr_char"))
+    headers = marks.where("kind = 'title'").withColumnRenamed("a", "title").join(running_titles(marks), ["scope", "title"], "left_semi").select(*key).distinct().withColumn("noise", F.lit("running_header"))
+    numbers = marks.where("kind = 'number'").select(*key).distinct().withColumn("noise", F.lit("page_number"))
+    breaks = split_words(marks, counts).select(*key).distinct().withColumn("noise", F.lit("hyphen_break"))
+    misread = misread_in(pages, misread_words(counts)).select(*key).distinct().withColumn("noise", F.lit("ocr_char"))
     return headers.unionByName(numbers).unionByName(breaks).unionByName(misread)
 
 
 def reflowed(texts: DataFrame) -> DataFrame:
     """(source_table, record_id, text): headers and page numbers gone, split words joined, misread words replaced, and the
     lines of a paragraph on one line; paragraphs stay apart by an empty line."""
-    lines, tokens, counts = analysed(texts)
+    pages, marks, counts = analysed(texts)
+    lines = pages.mapInPandas(_lines, LINES)
     key = ["source_table", "record_id"]
-    titles = running_titles(lines).withColumn("header", F.lit(True))
+    titles = running_titles(marks).withColumn("header", F.lit(True))
     body = lines.join(titles, ["scope", "title"], "left").withColumn("gone", F.coalesce("header", F.lit(False)) | F.col("numbered"))
     order = Window.partitionBy(*key).orderBy("line_no")
     kept = body.where(~F.col("gone")).withColumn("empty", F.trim("line") == "").withColumn("paragraph", F.sum(F.col("empty").cast("int")).over(order)).where(~F.col("empty"))
     joined = kept.groupBy(*key, "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("line")))), lambda x: x["line"]), "\n").alias("text"))
-    fixes = split_words(tokens, counts).select(*key, F.struct(F.col("skel").alias("was"), F.col("word").alias("now"), F.lit("h").alias("kind")).alias("fix"))
-    misread = tokens.where("kind = 't'").join(misread_words(counts), "word").select(*key, F.struct(F.col("word").alias("was"), F.col("meant").alias("now"), F.lit("t").alias("kind")).alias("fix"))
+    fixes = split_words(marks, counts).select(*key, F.struct(F.col("skel").alias("was"), F.col("word").alias("now"), F.lit("h").alias("kind")).alias("fix"))
+    misread = misread_in(pages, misread_words(counts)).select(*key, F.struct(F.col("word").alias("was"), F.col("meant").alias("now"), F.lit("t").alias("kind")).alias("fix"))
     per_record = fixes.unionByName(misread).groupBy(*key).agg(F.collect_set("fix").alias("fixes"))  # at most the words of one text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,10 +1,14 @@
-"""Words of many texts at once in numpy: places, documents and 64-bit hashes, without a Python loop over words."""
+"""Words of many texts at once in numpy: places, documents and 64-bit hashes, without a Python loop over words; and a
+filter of keys of bounded size."""
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 
 STEP = np.uint64(0x100000001B3)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -88,3 +92,52 @@ def later(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     out = np.ones(len(mixed), bool)
     out[np.unique(mixed, return_index=True)[1]] = False
     return out
+
+
+# ---------------------------------------------------------------------------------------------- a filter of keys
+
+FILTER_BITS = 1 << 30  # at most 128 MB are sent around; a fuller filter lets more through, and a join decides
+SLICE_BITS = 1 << 19
+SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = keys.astype(np.uint64)
+    return (keys * MIX) >> np.uint64(64 - bits.bit_length() + 1), (keys * SECOND) >> np.uint64(64 - bits.bit_length() + 1)
+
+
+def _bits_of(bits: int):
+    """Slices of the filter with the bits of one partition's keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slices: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for probe in _probes(batch["key"].to_numpy(np.int64), bits):
+                for s in np.unique(probe // SLICE_BITS).tolist():
+                    own = slices.setdefault(s, np.zeros(min(bits, SLICE_BITS), bool))
+                    own[(probe[probe // SLICE_BITS == s] % SLICE_BITS).astype(np.int64)] = True
+        yield pd.DataFrame([(s, np.packbits(own).tobytes()) for s, own in slices.items()], columns=["slice", "bits"])
+
+    return run
+
+
+def _either(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"slice": rows["slice"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]]).tobytes()]})
+
+
+def key_filter(keys: DataFrame, n_keys: int, most_bits: int | None = None) -> np.ndarray:
+    """Packed bits that the long column ``key`` sets; at most FILTER_BITS of them, whatever the number of keys."""
+    bits = min(most_bits or FILTER_BITS, 1 << max(16, (16 * n_keys).bit_length()))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in keys.select("key").mapInPandas(_bits_of(bits), "slice long, bits binary").groupBy("slice").applyInPandas(_either, "slice long, bits binary").collect():
+        out[r["slice"] * SLICE_BITS // 8 :][: min(bits, SLICE_BITS) // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def passing(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys that may be in the filter."""
+    ok = np.arange(len(keys))
+    for k in (0, 1):
+        probe = _probes(keys[ok], len(packed) * 8)[k].astype(np.int64)
+        ok = ok[(packed[probe >> 3] >> (7 - (probe & 7)).astype(np.uint8)) & 1 == 1]
+    return ok
