@@ -31,6 +31,7 @@ MAILBOX = re.compile(r"(?<!\S)\S*(?:@|://|\S\[(?:at|dot)\])\S*")
 LINE_END = re.compile(r"\r\n|[\n\x0c\r]")
 SIGNS = "-¬‐\xad"
 BREAK = re.compile(rf"([^\W\d_]+)([{SIGNS}])[ \t]*\r?\n[ \t]*([^\W\d_]+)")
+OVER_LINES = re.compile(rf"(?<=[^\W\d_])[{SIGNS}][ \t]*\r?\n[ \t]*([^\W\d_])")
 RATIO, SUPPORTED_RATIO, LEAST = 20, 4, 4
 SHORTEST = 3  # letters of a word that counts as misread; shorter ones differ in a sign from too many others
 PAGE_EDGE = 4  # lines (titles, numbers, empty ones) over which a word split at a page end goes on
@@ -127,10 +128,12 @@ def _breaks(text: str) -> Iterator[tuple[str, str, str]]:
 
 def _words(text: str) -> Iterator[tuple[str, str]]:
     """(word, word before) of a text, with words split over line ends joined and addresses left out."""
-    whole = BREAK.sub(lambda m: m[1] + ("" if m[3][0].islower() else "-") + m[3], MAILBOX.sub(" ", text) if "@" in text or "://" in text or "[at]" in text or "[dot]" in text else text)
+    whole = MAILBOX.sub(" ", text) if "@" in text or "://" in text or "[at]" in text or "[dot]" in text else text
+    whole = OVER_LINES.sub(lambda m: m[1] if m[1].islower() else "-" + m[1], whole)
+    low = whole.lower()
     before = ""
-    for w in TOKEN.findall(whole.lower() if len(whole.lower()) == len(whole) else whole):
-        w = w.strip("!|_").lower()
+    for w in TOKEN.findall(low if len(low) == len(whole) else "".join(c if len(c.lower()) != 1 else c.lower() for c in whole)):
+        w = w.strip("!|_")
         if len(w) >= SHORTEST:
             yield w, before
         before = w
