@@ -139,6 +139,33 @@ def test_history_against_brute_force(spark, steps):
     assert got == want
 
 
+@pytest.mark.parametrize("falling", [False, True])
+def test_chains_over_many_blocks(spark, monkeypatch, falling):
+    monkeypatch.setattr(history, "BLOCK", 16)
+    rng = random.Random(falling)
+    ids = sorted(range(60), reverse=True) if falling else rng.sample(range(60), 60)
+    rows = [(i, "/dense", "email", 2 * k) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "finding_id long, file_path string, pattern_type string, line_number int")
+    got = {(r["finding_id_a"], r["finding_id_b"]) for r in history.repeated_findings(df, 1).collect()}
+    assert got == brute(rows)
+
+
+def test_store_opened_again_and_batches_that_come_again(spark):
+    rows = [(k, "/a/b", "email", line) for k, line in enumerate([5, 6, 50, 90, 5, 53, 200, 90])]
+    df = spark.createDataFrame(rows, "finding_id long, file_path string, pattern_type string, line_number int")
+    name = f"veilscan_test_{random.randrange(1 << 40)}"
+    told = [{tuple(r) for r in history.History(spark, 3, name).add(df.where("finding_id < 4"), key="one").collect()} for _ in (1, 2)]
+    assert told[0] == told[1] == {(0, 0), (1, 0), (2, 2), (3, 3)} and spark.table(name).count() == 3
+    history.History(spark, name=name).close()  # as a new session finds it: files without a catalogue entry
+    again = history.History(spark, 7, name)
+    assert again.buckets == 3
+    for _ in (1, 2):
+        assert {tuple(r) for r in again.add(df.where("finding_id >= 4"), key="two").collect()} == {(4, 0), (5, 2), (6, 6), (7, 3)}
+    assert spark.table(name).count() == 4
+    again.close()
+    assert not spark.catalog.tableExists(name)
+
+
 def test_history_spelling_and_empty(spark):
     spelled = ["/s/a b/ф/й.py", "/s//a b/./ф/й.py", " /s/a b/x/../ф/й.py ", "\\s\\a b\\ф\\й.py", "file:///s/a%20b/%D1%84/%D0%B9.py", "/s/a b/ф/й.py", "/s/a b/ф/й.py (OCR)", "/s/a b/ф/й.py (архив)"]
     df = spark.createDataFrame([(k, p, t, 5) for k, (p, t) in enumerate(zip(spelled, ["api_key", " API-Key", "Api_Key"] * 3))], "finding_id long, file_path string, pattern_type string, line_number int")
