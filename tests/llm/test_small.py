@@ -255,11 +255,24 @@ def test_every_label_counts_on_one_line():
 
 
 def test_places_survive_disguises():
-    m = pii.undisguised("a ａｂ (at) host [dot] test ￥")
+    m = pii.undisguised(pii.normalised("a ａｂ (at) host [dot] test ￥"))
     at = m.text.index("ab@host.test")
     assert "a ａｂ (at) host [dot] test ￥"[slice(*m.source(at, at + len("ab@host.test")))] == "ａｂ (at) host [dot] test"
-    spelled = pii.undisguised("call zero seven seven zero zero nine now")
-    assert spelled.text.startswith("call 0 7 7 0 0 9")
+    spelled = pii.spelled_out(pii.normalised("call zero seven seven zero zero nine now"))
+    assert spelled.text == "call 077009 now"
+
+
+DISGUISED = [
+    ("Passport No: АВ1234567 x", [("АВ1234567", "identity_number")]), ("SSN: １２３-４５-６７８９", [("１２３-４５-６７８９", "identity_number")]), ("lives at 12 Оak Street.", [("12 Оak Street", "street_address")]), ("Dear Dаlviel Mоrlund, hello", [("Dаlviel Mоrlund", "name")]),
+    ("call five five five one two three four five six seven now", [("five five five one two three four five six seven", "phone")]), ("ring three six four, five five five, zero one eight six.", [("three six four, five five five, zero one eight six", "phone")]),
+    ("his SSN one two three four five six seven eight nine here", [("one two three four five six seven eight nine", "identity_number")]), ("звонить плюс семь девять один два три четыре пять шесть семь восемь девять", [("плюс семь девять один два три четыре пять шесть семь восемь девять", "phone")]),
+    ("see https://h.test/" + "a" * 300 + "dal@host.test", []), ("Паспорт 45 03 123456", [("45 03 123456", "identity_number")]), ("Dal\u200bviel Morlund", [("Dal\u200bviel Morlund", "name")]),
+]
+
+
+@pytest.mark.parametrize("text, want", DISGUISED)
+def test_disguised_values_of_all_kinds(text, want):
+    assert [(text[a:b], k) for a, b, k in pii.Finder(LEXICON)(text)] == want
 
 
 def test_document_numbers(spark):

@@ -1,15 +1,17 @@
 """Personal information in free text: found, typed and replaced by placeholders.
 
 Disguises are undone by transducers that keep, for every sign of their output, the place in the source it came from:
-compatibility and look-alike letters, spelled digits, at/dot words in brackets, words broken over a line end, and digits
-read for letters inside words. Identifiers are found in the normalised text and their spans mapped back, so that values
-come out exactly as they stand in the field.
+compatibility forms, invisible signs and look-alike letters of another script in all of the text; then, for the grammars
+they matter to, spelled digits, at/dot words in brackets, words broken over a line end, and digits read for letters
+inside words. All five kinds are found in the normalised text and their spans mapped back, so that values come out exactly
+as they stand in the field.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -18,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .secrets import Spans
+
 KINDS = ["email", "phone", "identity_number", "street_address", "name"]
 LEXICON_ROWS = 200_000  # the most rows of the name lexicon that are sent to the executors
 
@@ -58,28 +62,61 @@ class Mapped:
 LOOKALIKE = str.maketrans("аеорсухіјѕԁһԛԝАВЕКМНОРСТХІЈЅαορνΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwABEKMHOPCTXIJSaopvABEZHIKMNOPTYX")
 #: Spelled digits in the five languages (fixed values).
 DIGITS = {w: str(d) for d, ws in enumerate(["zero oh null cero zéro ноль", "one eins uno un один", "two zwei dos deux два", "three drei tres trois три", "four vier cuatro quatre четыре", "five fünf cinco cinq пять", "six sechs seis шесть", "seven sieben siete sept семь", "eight acht ocho huit восемь", "nine neun nueve neuf девять"]) for w in ws.split()}
-SPELLED = re.compile(r"(?i)\b(?:%s)(?:[ \-,.]+(?:%s)){5,}\b" % (("|".join(map(re.escape, DIGITS)),) * 2))
+PLUS = ["plus", "más", "плюс"]
+SPELLED = re.compile(r"(?i)\b(?:%s|%s)(?:[ \-,.]+(?:%s)){5,}\b" % ("|".join(PLUS), *("|".join(map(re.escape, DIGITS)),) * 2))
 COMPAT = re.compile("[\xaa\xb2\xb3\xb9\xba！-～⁰-₟℀-⅏\U0001d400-\U0001d7ffﬀ-ﬆ]")
 AT = re.compile(r"(?i)[ \t]*(?:\(at\)|\[at\]|\{at\}|<at>|\(@\)|\[@\]|\(arroba\)|\[arroba\]|\(собака\)|\[собака\])[ \t]*")
 DOT = re.compile(r"(?i)[ \t]*(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\(\.\)|\[\.\]|\(punkt\)|\[punkt\]|\(point\)|\[point\]|\(punto\)|\[punto\]|\(точка\)|\[точка\])[ \t]*")
 PLAIN_AT = re.compile(r"(?i)(?<=[\w]) (?:at|arroba|chez|собака) (?=[\w\-]+(?: (?:dot|punkt|point|punto|точка) \w+)+)")
 PLAIN_DOT = re.compile(r"(?i)(?<=[\w]) (?:dot|punkt|point|punto|точка) (?=\w)")
-MIXED = re.compile(r"[A-Za-z0-9._+\-]*[Ͱ-ϿЀ-ӿ]+[A-Za-z0-9._+\-Ͱ-ϿЀ-ӿ]*@|(?<=@)[\w.\-]*[Ͱ-ϿЀ-ӿ][\w.\-]*")
+#: A word of Latin letters and look-alikes of another script.
+MIXED = re.compile(r"[^\W\d_]*(?:[A-Za-z][Ͱ-ϿЀ-ӿԀ-ԯ]|[Ͱ-ϿЀ-ӿԀ-ԯ][A-Za-z])[^\W\d_]*")
+#: The same in a mailbox, over its dots and signs.
+MIXED_MAILBOX = re.compile(r"[A-Za-z0-9._+\-]*[Ͱ-ϿЀ-ӿ]+[A-Za-z0-9._+\-Ͱ-ϿЀ-ӿ]*@|(?<=@)[\w.\-]*[Ͱ-ϿЀ-ӿ][\w.\-]*")
+INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
+
 
+def _latin(m: re.Match) -> str:
+    """A mixed word in Latin letters, if all of its letters have a look-alike there; else as it is."""
+    word = m.group().translate(LOOKALIKE)
+    return word if not re.search("[Ͱ-ϿЀ-ӿԀ-ԯ]", word) else m.group()
 
-def undisguised(text: str) -> Mapped:
+
+def normalised(text: str) -> Mapped:
+    """Compatibility forms, invisible signs and mixed scripts undone."""
     m = Mapped.of(text)
-    if not text.isascii():
-        m = m.rewrite(COMPAT, lambda x: unicodedata.normalize("NFKC", x.group()))
-        m = m.rewrite(re.compile("[­​-‍⁠﻿]"), "")
+    if text.isascii():
+        return m
+    m = m.rewrite(COMPAT, lambda x: unicodedata.normalize("NFKC", x.group()))
+    # a soft hyphen at a line end stands for a break, which labels look at
+    return m.rewrite(re.compile(INVISIBLE.pattern + r"(?!\n)"), "").rewrite(MIXED, _latin)
+
+
+def undisguised(m: Mapped) -> Mapped:
+    """Mailboxes written with words for their signs, and with look-alike letters."""
     low = m.text
     if "at" in low or "AT" in low or "@" in low or "arroba" in low or "собака" in low:
         m = m.rewrite(AT, "@").rewrite(DOT, ".")
         if PLAIN_AT.search(m.text):
             m = m.rewrite(PLAIN_AT, "@").rewrite(PLAIN_DOT, ".")
         if "@" in m.text:
-            m = m.rewrite(MIXED, lambda x: x.group().translate(LOOKALIKE) if re.search(r"[A-Za-z]", x.group()) else x.group())
-    return m.rewrite(SPELLED, lambda x: re.sub(r"\w+", lambda w: DIGITS[w.group().lower()], x.group()))
+            m = m.rewrite(MIXED_MAILBOX, lambda x: x.group().translate(LOOKALIKE) if re.search(r"[A-Za-z]", x.group()) else x.group())
+    return m
+
+
+def _digits(m: re.Match) -> str:
+    """Spelled digits as a run; signs other than blanks and hyphens between all of them keep groups apart."""
+    words = re.split(r"([ \-,.]+)", m.group())
+    out = ["+"] if words[0].lower() in PLUS else [DIGITS[words[0].lower()]]
+    for between, word in zip(words[1::2], words[2::2]):
+        out += ["-" if re.search(r"[,.]", between) else "", DIGITS[word.lower()]]
+    return "".join(out)
+
+
+def spelled_out(m: Mapped) -> Mapped:
+    """Spelled digits as digits."""
+    low = m.text.lower()
+    return m.rewrite(SPELLED, _digits) if sum(map(low.count, DIGITS)) >= 6 else m
 
 
 #: Signs that scanning confuses with letters inside words (fixed values).
@@ -87,9 +124,9 @@ SCANNED = str.maketrans({"0": "o", "1": "l", "!": "i", "5": "s", "6": "b", "8":
 SCAN_WORD = re.compile(r"(?<![\w!|])(?=[\w!|]*[^\W\d_]{2})[\w!|]*[01!5689|][\w!|]*(?![\w!|])")
 
 
-def readable(text: str) -> Mapped:
+def readable(m: Mapped) -> Mapped:
     """For labels only: lower case, words joined over line ends, blanks as one, digits inside words read as letters."""
-    m = Mapped.of(text).rewrite(re.compile(r"(?<=[^\W\d_])[\-\xad¬‐]\n(?=[^\W\d_])"), "").rewrite(re.compile(r"[^\S ]\s*| \s+"), " ")
+    m = m.rewrite(re.compile(r"(?<=[^\W\d_])[\-\xad¬‐]\n(?=[^\W\d_])"), "").rewrite(re.compile(r"[^\S ]\s*| \s+"), " ")
     m = m.rewrite(SCAN_WORD, lambda x: x.group().translate(SCANNED))
     low = m.text.lower()
     return Mapped(low if len(low) == len(m.text) else "".join(c.lower()[:1] for c in m.text), m.starts, m.ends)
@@ -98,6 +135,12 @@ def readable(text: str) -> Mapped:
 # ---------------------------------------------------------------------------------------------- grammars
 
 EMAIL = re.compile(r"(?<![\w.+\-@/:])[^\W_][\w.+\-']*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}(?![\w@\-])|(?<=mailto:)[\w][\w.+\-']*@[A-Za-z0-9][A-Za-z0-9\-]*(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}(?![\w@\-])|(?<=[a-z]:)(?<!//)[A-Za-z0-9][\w.+\-]*@[A-Za-z0-9][A-Za-z0-9\-]*(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}(?![\w@\-])")
+URL = re.compile(r"(?i)(?<![\w+.\-])[a-z][\w+.\-]*://\S*")
+REPOSITORY = re.compile(r":[\w\-./]+\.git")
+DIGIT = re.compile(r"\d")
+FOUR_DIGITS = re.compile(r"\d\D*\d\D*\d\D*\d")
+#: Letters of another script beside digits, as numbers of documents have them.
+LETTERED = re.compile(r"(?<!\w)[^\W\d_]{1,3}(?=[ ]?\d)|(?<=\d)[^\W\d_]{1,3}(?!\w)")
 NO_MAILBOX = re.compile(r"^(?:git|svn|hg|ssh)@", re.I)
 
 PHONE = re.compile(
@@ -141,7 +184,7 @@ def _label(words: str) -> str:
 
 
 _LABEL_LIST = sorted((x.strip() for line in LABELS.strip().splitlines() for x in line.split(";")), key=lambda x: len(re.sub(r" ?\(.*?\)", "", x)), reverse=True)
-LABEL = re.compile(r"(?<!\w)(?:" + "|".join(map(_label, _LABEL_LIST)) + r")(?:[ ]?[:=№#]|[ ]?n[°º]|[ ]nr\.?|[ ]no\.?|[ ]nu[mn]ber)*[ ]?(?=[\"'«(]?[a-z0-9])")
+LABEL = re.compile(r"(?<!\w)(?:" + "|".join(map(_label, _LABEL_LIST)) + r")(?:[ ]?[:=№#]|[ ]?n[°º]|[ ]nr\.?|[ ]no\.?|[ ]nu[mn]ber)*[ ]?(?=[\"'«(]?[^\W_])")
 STRUCTURED = [re.compile(rf"<(?:no|id|number|doc)>(?P<v>{ID_SHAPE})</"), re.compile(rf""""(?:id|no|document|doc_no|ssn|passport|number)"\s*:\s*"(?P<v>{ID_SHAPE})\""""), re.compile(rf"(?<=;)(?P<v>{ID_SHAPE})(?=;)"), re.compile(rf"(?<=',')(?P<v>\d{{3}}-\d{{2}}-\d{{4}})(?=')")]
 
 CAP = r"[A-ZÀ-ÖØ-Þ][\wà-öø-ÿ'’]+"
@@ -208,51 +251,59 @@ class Finder:
 
     def __call__(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) in source places, in order, without overlaps; no value runs over a line end."""
-        got: list[tuple[int, int, str]] = []
-
-        def free(a: int, b: int) -> bool:
-            return all(b <= c or d <= a for c, d, _ in got)
+        got = Spans()
 
-        def take(a: int, b: int, kind: str) -> None:
-            if "\n" not in text[a:b] and free(a, b):
-                got.append((a, b, kind))
+        def take(a: int, b: int, kind: str) -> bool:
+            return "\n" not in text[a:b] and got.add(a, b, kind)
 
-        m = undisguised(text)
+        base = normalised(text)
+        m = undisguised(base)
         if "@" in m.text:
+            inside = [x.span() for x in URL.finditer(m.text)] if "://" in m.text else []
             for x in EMAIL.finditer(m.text):
-                before = m.text[max(0, x.start() - 200) : x.start()]
-                if NO_MAILBOX.match(x.group()) or re.search(r"(?i)[a-z][\w+.\-]*://\S*$", before) or re.match(r":[\w\-./]+\.git", m.text[x.end() :]):
+                k = bisect_right(inside, (x.start(), 0)) - 1
+                if NO_MAILBOX.match(x.group()) or k >= 0 and inside[k][0] < x.start() <= inside[k][1] or REPOSITORY.match(m.text, x.end()):
                     continue
                 take(*m.source(*x.span()), "email")
-        if re.search(r"\d", m.text):
-            self._numbers(text, m, take)
-            for x in ADDRESS.finditer(text):
-                take(x.start(), x.end(), "street_address")
-        if PAIR.search(text):
+        spelled = spelled_out(base)
+        if DIGIT.search(spelled.text):
+            self._numbers(base, spelled, take)
+            for x in ADDRESS.finditer(base.text):
+                take(*base.source(*x.span()), "street_address")
+        if PAIR.search(base.text):
             for pattern in (NAME_LATIN, NAME_RUS):
-                if pattern is NAME_RUS and text.isascii():
+                if pattern is NAME_RUS and base.text.isascii():
                     continue
-                self._named(text, pattern, take)
-        return sorted(got)
-
-    def _numbers(self, text: str, m: Mapped, take) -> None:
-        r = readable(text) if re.search(r"\d\D*\d\D*\d\D*\d", text) else None  # a labelled number has four digits
+                self._named(base, pattern, take)
+        return got.all
+
+    def _numbers(self, base: Mapped, spelled: Mapped, take) -> None:
+        text = spelled.text
+        r = readable(spelled) if FOUR_DIGITS.search(text) else None  # a labelled number has four digits
+        numbers = text if text.isascii() else LETTERED.sub(lambda x: x.group().translate(LOOKALIKE), text)  # sign by sign
+        at_source = None
         for x in LABEL.finditer(r.text) if r else ():
-            at = r.ends[x.end() - 1]
+            if at_source is None:  # where in the text with digits a sign of the source is
+                at_source = {b: k + 1 for k, b in enumerate(spelled.ends)}
+            at = at_source[r.ends[x.end() - 1]]
             while at < len(text) and text[at] in " \n\t\"'«(":
                 at += 1
-            v = ID_VALUE.match(text, at)
-            if v and re.search(r"\d.*\d.*\d.*\d", v.group()):
-                take(v.start(), v.end(), "identity_number")
+            v = ID_VALUE.match(numbers, at)
+            if v and FOUR_DIGITS.search(v.group()):
+                take(*spelled.source(*v.span()), "identity_number")
         for pattern in STRUCTURED if ";" in text or "<" in text or '"' in text or "','" in text else ():
-            for x in pattern.finditer(text):
-                take(*x.span("v"), "identity_number")
-        for x in PHONE.finditer(m.text):
-            if not NO_PHONE.search(m.text[max(0, x.start() - 20) : x.start()]):
-                take(*m.source(*x.span()), "phone")
-
-    def _named(self, text: str, pattern: re.Pattern, take) -> None:
-        at = 0
+            for x in pattern.finditer(numbers):
+                take(*spelled.source(*x.span("v")), "identity_number")
+        for x in PHONE.finditer(text):
+            if not NO_PHONE.search(text[max(0, x.start() - 20) : x.start()]):
+                take(*spelled.source(*x.span()), "phone")
+        if spelled is not base:
+            for x in SPELLED.finditer(base.text):  # said digit by digit, without groups a number could be known by
+                if 7 <= len(re.sub(r"\D", "", _digits(x))) <= 15:
+                    take(*base.source(*x.span()), "phone")
+
+    def _named(self, base: Mapped, pattern: re.Pattern, take) -> None:
+        text, at = base.text, 0
         while x := pattern.search(text, at):
             a, b = x.span()
             g = x.groupdict()
@@ -278,7 +329,7 @@ class Finder:
                 sure = 2 if known or sure == 2 else sure
             cue = bool(CUE.search(text[max(0, a - 24) : a])) or bool(AFTER.match(text[b : b + 24]))
             if sure == 2 or sure == 1 and (cue or not g["a"]) or cue and not g["a"]:
-                take(a, b, "name")
+                take(*base.source(a, b), "name")
                 at = b
             else:
                 at = a + len(words[0]) if not g["i"] else b
