@@ -215,8 +215,8 @@ NAME_RUS = _name_pattern(RUS, "А-ЯЁ")
 PAIR = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w.'’\-]*,? [A-ZÀ-ÖØ-ÞА-ЯЁ]")
 #: Words that stand before a name and are no part of it (fixed values).
 TITLES = frozenset("dear holder contact please call holder signed mr mrs ms dr herr frau madame monsieur señor señora sr sra don doña joindre llamar joignez appelez antragsteller customer owner team site the гражданин гражданка г-н г-жа заявитель её его а фамилия имя анкету выдан почта телефон группа по адрес владелец".split())
-#: Words that look like one half of a name and never are (fixed values).
-NO_NAME = frozenset("street avenue lane road drive court rd ct st old north south east west new registry holdings archive office harbor quarry view room card part host ticket invoice checksum register scan file page internal use only kestrel national insurance step qty total for don't it's they've every nobody the a an in on at to and or of by with from since until while after before between during halfway following once two if why who her his sur le la les il elle au à l'équipe der die das ein eine und oder von mit für bei im am el los en por que según dni nie nif снилс инн паспорт дом улица пер ул д полис омс водительское удостоверение телефон почта нужен найдено если почему реестр снимок бланк журнал договор черновик поток ключ номер отчёт архив steuer personalausweis reisepass führerschein passeport pasaporte id ssn monsieur madame réf".split())
+#: Function words, parts of addresses and labels of numbers; none is half of a name (fixed values).
+NO_NAME = frozenset("street avenue lane road drive court rd ct st old north south east west new national insurance for don't it's they've the a an in on at to and or of by with from since until while after before between during halfway following once two if why who her his sur le la les il elle au à l'équipe der die das ein eine und oder von mit für bei im am el los en por que según dni nie nif снилс инн паспорт дом улица пер ул д полис омс водительское удостоверение телефон почта если почему steuer personalausweis reisepass führerschein passeport pasaporte id ssn monsieur madame réf".split())
 CUE = re.compile(
     r"""(?ix)(?:\b(?:dear|holder|signed:|please[ ]call|mrs?\.?|ms\.?|dr\.?|herrn?|frau|madame|monsieur|mme|m\.|señora?|sra?\.|don|doña|joindre|llamar[ ]a|antragsteller:|antragstellerin:|filled[ ]in[ ]by|although|appartient[ ]à|pertenece[ ]a|customer|reviewed-by:|\#[ ]ask|author:|owner:|name:|narne:|namc:|nom:|nombre:|имя:|фио:|//[ ]call|call|гражданин|гражданка|заявитель:|на[ ]имя|подписала?|владелец:?)[ ]|values[ ]\(\\?['"]|<name>|^[ ]*['"](?=[^'"]*['"],['"])|^[ ]*(?=[^;@=]{3,60};[A-Z0-9]))$"""
 )

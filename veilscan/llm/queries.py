@@ -62,9 +62,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import lexicon_of, redact
+    from .pii import document_number, lexicon_of, redact
 
-    return redact(_personal_texts(spark, sf_dir), lexicon_of(table(spark, sf_dir, "name_lexicon")))
+    redacted = redact(_personal_texts(spark, sf_dir), lexicon_of(table(spark, sf_dir, "name_lexicon")))
+    number = F.col("document_number")
+    documents = table(spark, sf_dir, "parsed_mrz").select(F.lit("parsed_mrz").alias("source_table"), F.col("mrz_id").alias("record_id"), F.when(document_number(number).isNotNull(), "[IDENTITY_NUMBER]").otherwise(number).alias("redacted"))
+    return redacted.unionByName(documents)
 
 
 def _decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
