@@ -473,6 +473,12 @@ def test_repetition_against_brute_force(spark):
         assert got[i] == pytest.approx(sum(len(words[k]) for k in covered) / total)
 
 
+def test_short_phrases_in_a_row():
+    share = lambda text: repetition.measure([text, "other"])["share"].iloc[0]
+    assert share("spam spam spam spam") == 0.75 and share("buy now buy now buy now") == pytest.approx(4 / 6) and share("a b c d a b c d a b c d") == pytest.approx(8 / 12)
+    assert share("very very good") == 0 and share("no. no, it is not so") == 0
+
+
 def test_repetition_kinds(spark):
     a, b = "The first release was moved to a later week by the team", "Nobody knew whether the second mirror could be reached today"
     rows = [(1, f"{a}. {b}. {a}! {b}?"), (2, f"{a}. {b}."), (3, None), (4, ""), (5, " .. \n"), (6, "spam " * 5000), (7, "Step 1: open it\nStep 2: open it\nStep 3: open it"), (8, LONG), (1, f"{a}. {b}. {a}! {b}?")]

@@ -1,7 +1,7 @@
 """Repetition inside a single document: rolling hashes of word n-grams and of lines, sentences and paragraphs in numpy.
 
 A word lies in a repeated stretch when a run of n words around it, or the whole line, sentence or paragraph it is in,
-already stood earlier in the same document. Letter case, punctuation, spacing and the values of counters do not matter.
+already stood earlier in the same document, or when it belongs to a short phrase said again and again in a row. Letter case, punctuation, spacing and the values of counters do not matter.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .words import STEP, Words, later, powers
 
 LENGTHS = (5, 10, 20)  # words; the shortest decides what is repeated, the longer ones are reported beside it
+IN_A_ROW = 3  # sayings of a short phrase right after itself that make a repetition; twice is emphasis
 NEWLINES = np.array([10, 11, 12, 13, 0x85, 0x2028, 0x2029, 0], np.uint32)
 STOPS = np.array([ord(c) for c in ".!?…。！？;"], np.uint32)
 BLANKS = np.array([9, 10, 11, 12, 13, 32, 0xA0, 0], np.uint32)
@@ -38,6 +39,22 @@ def _segments(w: Words, breaks: np.ndarray, least: int) -> np.ndarray:
     return np.repeat(later(keys, w.doc[first]) & (size >= least), size)
 
 
+def _in_a_row(w: Words) -> np.ndarray:
+    """Words of a phrase of one to four words that is said again right after itself, from its second saying on, where it
+    is said IN_A_ROW times at least."""
+    out = np.zeros(len(w.hash), bool)
+    for k in range(1, LENGTHS[0]):
+        n = len(w.hash) - k
+        if n <= 0:
+            break
+        same = np.concatenate([[False] * k, (w.hash[k:] == w.hash[:-k]) & (w.doc[k:] == w.doc[:-k])])
+        edge = np.diff(np.concatenate([[0], same.view(np.int8), [0]]))
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        long = last - first >= k * (IN_A_ROW - 1)
+        out |= _covered(len(out), first[long], last[long] - first[long])
+    return out
+
+
 def _with_counters(all_words: Words, covered: np.ndarray) -> np.ndarray:
     """Coverage of all words from that of the words that are no counters: a counter between covered words is covered."""
     out = np.zeros(len(all_words.start), bool)
@@ -75,7 +92,7 @@ def measure(texts: list[str]) -> pd.DataFrame:
     newline, blank = np.isin(w.codes, NEWLINES), np.isin(w.codes, BLANKS)
     stop = np.isin(w.codes, STOPS) & np.concatenate([blank[1:], [True]])
     lines = _segments(w, newline, 1)
-    any_ = runs[LENGTHS[0]] | lines | _segments(w, newline | stop, 2)
+    any_ = runs[LENGTHS[0]] | lines | _segments(w, newline | stop, 2) | _in_a_row(w)
     return pd.DataFrame({"n_words": total, "share": share(any_, total), **{f"char_share_{k}": share(runs[k], chars, signs) for k in LENGTHS}, "line_share": share(lines, chars, signs)})
 
 
