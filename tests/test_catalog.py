@@ -38,7 +38,7 @@ def test_contexts_of_all_scripts_are_cut(spark, duck):
     rows = duck.execute("SELECT finding_id, context FROM findings WHERE context IS NOT NULL").fetchall()
     want = sorted((i, c.encode()[:97].decode("utf-8", "replace") + "..." if len(c.encode()) > 100 else c) for i, c in rows)
     assert any("\ufffd..." in c for _, c in want)
-    assert sorted(map(tuple, entry_module.queries()["truncated_contexts"](spark, DATA).collect())) == want
+    assert sorted(map(tuple, entry_module.queries()["truncated_findings"](spark, DATA).collect())) == want
 
 
 def test_entry(spark):

@@ -135,3 +135,24 @@ IMAGE_DATA = {
     "card": ["📋 Персональные данные", "📸 Фотография", "🔢 Номер документа"],
     "other": ["📋 Персональные данные"],
 }
+
+# Words of the console and of the window, sizes, and descriptions of documents.
+CONSOLE_SEVERITY_RU = {"critical": "Крит.", "high": "Высок.", "medium": "Сред.", "low": "Низк."}
+WINDOW_SEVERITY_RU = {"critical": "Критич.", "high": "Высокий", "medium": "Средний", "low": "Низкий"}
+WINDOW_PATTERN_RU = {
+    "password": "Пароль", "api_key": "API-ключ", "token": "Токен", "private_key": "Приватный ключ", "aws_key": "AWS ключ", "github_token": "GitHub токен", "email": "Email", "phone_number": "Телефон", "ssn": "SSN",
+    "credit_card": "Банк. карта", "json_secret": "JSON секрет", "env_var": "Перем. окружения", "connection_string": "Строка подключ.",
+}
+SIZE_UNITS = ["B", "KB", "MB", "GB", "TB"]
+SIZE_UNITS_RU = ["Б", "КБ", "МБ", "ГБ", "ТБ"]
+DOCUMENT_DESCRIPTION_RU = {
+    "passport_page": "Обнаружена страница паспорта с персональными данными владельца.", "passport_closed": "Обнаружен паспорт (разворот). Виден документ целиком.", "passport_card": "Обнаружена карточка паспорта с фото и данными.",
+    "id_card": "Обнаружено удостоверение личности с персональной информацией.", "driver_license": "Обнаружено водительское удостоверение.", "passport": "Обнаружен паспорт с персональными данными.",
+}
+DOCUMENT_DESCRIPTION_DEFAULT = "Обнаружен документ, содержащий персональные данные."
+DETECTOR_TYPE_RU = {
+    "passport": "Паспорт (внутренний или заграничный)", "driver_license": "Водительское удостоверение", "id_card": "Удостоверение личности / ID-карта", "credit_card": "Банковская карта",
+    "bank_statement": "Банковская выписка / документ", "tax_document": "Налоговый документ (2-НДФЛ, декларация)", "medical_record": "Медицинская документация", "unknown": "Неизвестный тип документа",
+}
+FOUND_IN_IMAGE, FOUND_IN_PDF, ZONE_LABEL = " обнаружен", " обнаружен в PDF", "Паспорт с MRZ"
+IMAGE_CONTEXT, PDF_CONTEXT = "Изображение документа (confidence: %s)", "PDF страница %d (confidence: %s)"

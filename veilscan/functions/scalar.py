@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dictionaries import SIZE_UNITS
+
 #: Words that raise the risk of a line (fixed values).
 RISK_WORDS = ["password", "secret", "token", "key", "private", "credential", "auth", "api", "access", "aws"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -104,15 +108,13 @@ def path_truncated(path: Column, most: int = 50) -> Column:
     return F.when(F.length(path) <= most, path).otherwise(F.concat(F.substring(path, 1, head), F.lit("..."), F.right(path, F.lit(tail))))
 
 
-def size_text(n: Column) -> Column:
-    """Bytes in a readable unit, one decimal from KB on."""
-    k = F.lit(1024.0)
-    return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / k))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / k / k))
-        .otherwise(F.format_string("%.1f GB", n / k / k / k))
-    )
+def size_text(n: Column, units: list[str] = SIZE_UNITS) -> Column:
+    """Bytes in a readable unit, one decimal from the second unit on."""
+    out, k = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" " + units[0]))), F.lit(1024.0)
+    for i, unit in enumerate(units[1:], 1):
+        part = F.format_string(f"%.1f {unit}", reduce(lambda x, _: x / k, range(i), n))
+        out = out.when(n < 1024 ** (i + 1), part) if i < len(units) - 1 else out.otherwise(part)
+    return out
 
 
 def printable_share(s: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dictionaries as d
-from ..functions.scalar import page_number, risk_label
+from ..functions.scalar import risk_label
+from .once import once
 
 
 def quality(width: Column, height: Column) -> Column:
@@ -36,18 +37,24 @@ def geometry(width: Column, height: Column) -> Column:
     return out.otherwise(row(None, 0.0, False))
 
 
-def mrz_signal(text: Column) -> Column:
-    """struct(mrz_score, mrz_parsed): 60 for a line of a known shape, 70 if the zone also parses, 30 for lines that only
-    resemble one; O counts as 0 throughout."""
-    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.translate(F.upper(F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), "O ", "0")), lambda x: (F.octet_length(x) >= 20) & (F.length(F.regexp_replace(x, "[^A-Z0-9<]", "")) / F.octet_length(x) > 0.85))
+def mrz_lines(text: Column) -> Column:
+    """Lines of 20 bytes at least that look like a zone, with O read as 0."""
+    cleaned = F.transform(F.split(text, "\n", -1), lambda x: F.translate(F.upper(F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), "O ", "0"))
+    return F.filter(cleaned, lambda x: (F.octet_length(x) >= 20) & (F.length(F.regexp_replace(x, "[^A-Z0-9<]", "")) / F.octet_length(x) > 0.85))
+
+
+def mrz_signal(lines: Column) -> Column:
+    """struct(mrz_score, mrz_parsed, mrz_names) of such lines: 60 for a line of a known shape, 70 if the zone also parses,
+    30 for lines that only resemble one."""
     shaped = F.exists(lines, lambda x: reduce(lambda a, p: a | x.rlike(p), d.IMAGE_MRZ_SHAPES, F.lit(False)))
     one, two = F.get(lines, 0), F.get(lines, 1)
     positions = [F.substring(two, p + 1, 1).rlike("^[0-9<]$") for p in (9, 13, 19, 27, 43)]
     digits = sum((F.when(p, 1).otherwise(0) for p in positions), F.lit(0))
     passport = (F.substring(one, 1, 1) == "P") & (F.octet_length(one) >= 44) & (F.octet_length(two) >= 44) & (digits >= 3)
-    parsed = F.coalesce((F.size(lines) >= 2) & (passport | F.substring(one, 1, 1).isin("I", "A", "C")), F.lit(False))
-    score = F.when(shaped & parsed, 70.0).when(shaped, 60.0).when(F.size(lines) > 0, 30.0).otherwise(0.0)
-    return F.struct(F.coalesce(score, F.lit(0.0)).alias("mrz_score"), F.coalesce(shaped & parsed, F.lit(False)).alias("mrz_parsed"))
+    parsed = F.coalesce(shaped & (F.size(lines) >= 2) & (passport | F.substring(one, 1, 1).isin("I", "A", "C")), F.lit(False))
+    score = F.when(parsed, 70.0).when(shaped, 60.0).when(F.size(lines) > 0, 30.0).otherwise(0.0)
+    names = F.trim(F.regexp_replace(F.translate(F.substring(one, 6, 39), "<", " "), " +", " "))
+    return F.struct(F.coalesce(score, F.lit(0.0)).alias("mrz_score"), parsed.alias("mrz_parsed"), F.when(parsed, names).alias("mrz_names"))
 
 
 def keyword_signal(text: Column) -> Column:
@@ -91,7 +98,9 @@ def judged(images: DataFrame, id_col: str, width: str, height: str, text_col: st
     Null texts have no text signals. The face signal is never computed.
     """
     w, h, t = F.col(width), F.col(height), F.col(text_col)
-    s = images.select(id_col, *keep, quality(w, h).alias("q"), geometry(w, h).alias("g"), mrz_signal(t).alias("m"), keyword_signal(t).alias("k"), keyword_type(t).alias("kt"), structure_signal(t).alias("s"), barcode_signal(t).alias("b"))
+    lines = once(images.select(id_col, *keep, w.alias("w"), h.alias("h"), t.alias("t")), [id_col, *keep, "w", "h", "t"], lines=mrz_lines(F.col("t")))
+    w, h, t = F.col("w"), F.col("h"), F.col("t")
+    s = once(lines, [id_col, *keep], q=quality(w, h), g=geometry(w, h), m=mrz_signal(F.col("lines")), k=keyword_signal(t), kt=keyword_type(t), s=structure_signal(t), b=barcode_signal(t))
     parts = {"mrz": F.col("m.mrz_score") / 70 * 100, "keywords": F.col("k.keyword_score") / 30 * 100, "barcode": F.col("b") / 20 * 100, "geometry": F.col("g.geometry_score") / 15 * 100, "structure": F.col("s.structure_score") / 20 * 100, "quality": F.col("q.quality_score") / 10 * 100}
 
     def weighed(weights: dict[str, float]) -> Column:
@@ -105,7 +114,7 @@ def judged(images: DataFrame, id_col: str, width: str, height: str, text_col: st
     kind = F.when(photo, "passport_photo").when(F.col("m.mrz_parsed"), "passport").otherwise(F.coalesce("g.document_type", "kt", F.when(F.col("is_document"), "unknown_document")))
     return out.select(
         id_col, *keep, F.col("q.quality_score").alias("quality_score"), F.col("g.geometry_score").alias("geometry_score"), F.col("m.mrz_score").alias("mrz_score"), F.col("k.keyword_score").alias("keyword_score"), F.col("k.keywords_found").alias("keywords_found"),
-        F.col("s.structure_score").alias("structure_score"), F.col("b").alias("barcode_score"), F.round("final_score", 4).alias("final_score"), confidence.alias("confidence"), "is_document", kind.alias("document_type"),
+        F.col("s.structure_score").alias("structure_score"), F.col("b").alias("barcode_score"), F.round("final_score", 4).alias("final_score"), confidence.alias("confidence"), "is_document", kind.alias("document_type"), F.col("m.mrz_names").alias("mrz_names"),
     )
 
 
@@ -119,12 +128,27 @@ def data_found(kind: Column) -> Column:
     return F.when(F.contains(kind, F.lit("passport")), words["passport"]).when(F.contains(kind, F.lit("id_card")) | F.contains(kind, F.lit("driver")), words["card"]).otherwise(words["other"])
 
 
-def document_findings(judged_images: DataFrame, id_col: str, path: Column) -> DataFrame:
-    """A critical finding per image that is a document: its page is the line, its type the matched text, its score the risk."""
-    kind = F.col("document_type")
+def document_description(kind: Column) -> Column:
+    """What a document of the kind shows of its owner."""
+    pairs = F.create_map(*[F.lit(x) for kv in d.DOCUMENT_DESCRIPTION_RU.items() for x in kv])
+    return F.coalesce(F.try_element_at(pairs, kind), F.lit(d.DOCUMENT_DESCRIPTION_DEFAULT))
+
+
+def document_findings(judged_images: DataFrame, id_col: str, path: Column, page: Column | None = None) -> DataFrame:
+    """A critical finding per image that is a document: its type is the matched text, its score the risk.
+
+    An image is one page and stands on line 1; of pages of a PDF, page gives the number, which is the line. A zone that
+    parses is named in the description, and its names are the context.
+    """
+    kind, zone = F.col("document_type"), F.col("mrz_names")
     label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in d.IMAGE_TYPE_RU.items() for x in kv]), kind), F.lit(d.IMAGE_TYPE_DEFAULT))
+    said, words = (d.FOUND_IN_IMAGE, d.IMAGE_CONTEXT) if page is None else (d.FOUND_IN_PDF, d.PDF_CONTEXT)
+    number = F.lit(1) if page is None else page
+    plain = F.format_string(words, F.col("confidence")) if page is None else F.format_string(words, number, F.col("confidence"))
+    context = plain if page is not None else F.when(zone.isNotNull(), F.concat(F.lit("MRZ: "), zone)).otherwise(plain)
     risk = F.col("final_score")
     return judged_images.where("is_document").select(
-        id_col, path.alias("file_path"), page_number(path).alias("line_number"), F.lit("passport").alias("pattern_type"), F.lit("critical").alias("severity"), label.alias("description"), kind.alias("matched_text"), risk.alias("risk_score"),
-        risk_label(risk).alias("risk_level"), warnings(kind, risk).alias("warnings"), data_found(kind).alias("data_found"),
+        id_col, path.alias("file_path"), number.alias("line_number"), F.lit("passport").alias("pattern_type"), F.lit("critical").alias("severity"),
+        F.concat(F.when(zone.isNotNull(), d.ZONE_LABEL).otherwise(label), F.lit(said)).alias("description"), kind.alias("matched_text"), context.alias("context"), risk.alias("risk_score"),
+        risk_label(risk).alias("risk_level"), warnings(kind, risk).alias("warnings"), data_found(kind).alias("data_found"), document_description(kind).alias("summary"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dictionaries import MRZ_SHAPES
+from .once import once
 
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FILLERS = "«»−-–—_"  # fixed values: signs that scanning makes of the filler
@@ -22,9 +23,13 @@ def is_mrz_line(line: Column) -> Column:
     return n.between(28, 46) & (share >= 0.9) & ((share > 0.95) | n.isin(30, 36, 44))
 
 
-def zone(text: Column) -> Column:
-    """The lines of a text that make up its zone: two of 44, else two of 36, else three of 30, else the first two."""
-    lines = F.filter(F.transform(F.split(text, "\n", -1), clean_line), is_mrz_line)
+def zone_lines(text: Column) -> Column:
+    """The lines of a text that a zone may have."""
+    return F.filter(F.transform(F.split(text, "\n", -1), clean_line), is_mrz_line)
+
+
+def zone(lines: Column) -> Column:
+    """Of such lines those that make up the zone: two of 44, else two of 36, else three of 30, else the first two."""
 
     def of(n: int) -> Column:
         return F.filter(lines, lambda x: F.octet_length(x) == n)
@@ -80,7 +85,8 @@ def parsed(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Only TD3 has check digits, so that no other type is ever valid; MRVA has no field layout. Texts without a zone, null
     and empty ones have no row.
     """
-    z = texts.select(F.col(id_col), zone(F.col(text_col)).alias("lines")).where(F.size("lines") > 0).withColumn("mrz_type", zone_type(F.col("lines")))
+    every = once(texts, [id_col], every=zone_lines(F.col(text_col))).where(F.size("every") > 0)
+    z = once(once(every, [id_col], lines=zone(F.col("every"))), [id_col, "lines"], mrz_type=zone_type(F.col("lines")))
     one, two, three = F.get("lines", 0), F.get("lines", 1), F.get("lines", 2)
     kind = F.col("mrz_type")
     two_line, td3, td1 = kind.isin("TD3", "TD2", "MRVB"), kind == "TD3", kind == "TD1"
@@ -93,8 +99,9 @@ def parsed(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     name_part = F.when(td3, cut(one, 5, 39)).when(kind.isin("TD2", "MRVB"), cut(one, 5, 31)).when(td1, cut(three, 0, 30)).otherwise("")
     surname, given = _names(name_part)
-    fields = z.select(
-        id_col, "lines", "mrz_type", F.when(two_line | td1, cut(one, 0, 1)).otherwise("").alias("type_code"), F.when(two_line | td1, unfilled(cut(one, 2, 3))).otherwise("").alias("issuing_country"),
+    fields = once(
+        z, [id_col, "lines", "mrz_type"],
+        F.when(two_line | td1, cut(one, 0, 1)).otherwise("").alias("type_code"), F.when(two_line | td1, unfilled(cut(one, 2, 3))).otherwise("").alias("issuing_country"),
         surname.alias("surname"), given.alias("given_names"), unfilled(pick(cut(two, 0, 9), cut(one, 5, 9))).alias("document_number"), unfilled(pick(cut(two, 10, 3), cut(two, 15, 3))).alias("nationality"),
         pick(cut(two, 13, 6), cut(two, 0, 6)).alias("date_of_birth"), pick(cut(two, 20, 1), cut(two, 7, 1)).alias("sex"), pick(cut(two, 21, 6), cut(two, 8, 6)).alias("expiry_date"),
         F.when(td3, unfilled(cut(two, 28, 14))).otherwise("").alias("personal_number"),

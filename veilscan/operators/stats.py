@@ -55,6 +55,24 @@ def most_frequent_patterns(findings: DataFrame, n: int = 5) -> DataFrame:
     return pattern_counts(findings).orderBy(F.col("n").desc(), "pattern_type").limit(n)
 
 
+def files_by_severity(findings: DataFrame) -> DataFrame:
+    """Files with their most severe first; equal ones by path."""
+    files = per_file(findings)
+    return files.orderBy(severity_score(F.col("max_severity")).desc(), "file_path").select("file_path", "max_severity", "findings")
+
+
+def findings_by_severity(findings: DataFrame, tie: str = "finding_id") -> DataFrame:
+    """Findings by file, the severest of a file first; a range sort, so that a hot file is no group of one task."""
+    return findings.orderBy("file_path", severity_score(F.col("severity")).desc(), tie)
+
+
+def totals_without_ignored(findings: DataFrame, ignored_paths: DataFrame) -> DataFrame:
+    """One row: counts per severity and in all, of findings in files that are not ignored; other severities count nowhere."""
+    kept = findings.join(ignored_paths.select("file_path").distinct(), "file_path", "left_anti")
+    per = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES]
+    return kept.agg(*per).withColumn("total", sum((F.col(s) for s in SEVERITIES[1:]), F.col(SEVERITIES[0])))
+
+
 def is_critical(severity: Column, risk: Column) -> Column:
     return F.coalesce((severity == "critical") | ((severity == "high") & (risk >= 70)), F.lit(False))
 

@@ -200,15 +200,10 @@ def masked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "findings").where("matched_text IS NOT NULL").select("finding_id", x.masked(F.col("matched_text")).alias("masked"))
 
 
-@query("SELECT finding_id, CASE WHEN strlen(context) > 100 THEN context[1:97] || '...' ELSE context END AS shown FROM findings WHERE context IS NOT NULL AND strlen(context) = length(context)")
+# the cut is at byte 97; the signs that fit whole are counted, and a sign that is cut becomes U+FFFD
+@query("""SELECT finding_id, CASE WHEN strlen(context) <= 100 THEN context ELSE left(context, k) || CASE WHEN strlen(left(context, k)) < 97 THEN chr(65533) ELSE '' END || '...' END AS shown
+    FROM (SELECT finding_id, context, len(list_filter(range(1, 98), lambda i: i <= length(context) AND strlen(left(context, i)) <= 97)) AS k FROM findings WHERE context IS NOT NULL)""")
 def truncated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the part that SQL can say, for comparison; truncated_contexts has all
-    f = table(spark, sf_dir, "findings").where("context IS NOT NULL AND octet_length(context) = length(context)")
-    return f.select("finding_id", x.truncated(F.col("context")).alias("shown"))
-
-
-@query()  # cuts inside a code point are not sayable in SQL
-def truncated_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "findings").where("context IS NOT NULL").select("finding_id", x.truncated(F.col("context")).alias("shown"))
 
 
@@ -260,6 +255,22 @@ def top_affected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.most_affected_files(_findings(spark, sf_dir))
 
 
+@query(f"SELECT file_path, {_TOP} AS max_severity, count(*) AS findings FROM {_CLEAN} GROUP BY file_path")
+def files_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.files_by_severity(_findings(spark, sf_dir))
+
+
+@query(f"SELECT file_path, finding_id, severity FROM {_CLEAN}")
+def findings_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.findings_by_severity(_findings(spark, sf_dir).select("file_path", "finding_id", "severity"))
+
+
+@query(f"""SELECT *, critical + high + medium + low AS total FROM (SELECT {_FILE_COUNTS} FROM {_CLEAN} f
+    WHERE NOT EXISTS (SELECT 1 FROM file_status s WHERE s.file_path = f.file_path AND lower(trim(s.scan_status)) = 'skipped'))""")
+def totals_without_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.totals_without_ignored(_findings(spark, sf_dir), table(spark, sf_dir, "file_status").where(F.lower(F.trim("scan_status")) == "skipped"))
+
+
 @query(f"SELECT pattern_type, count(*) AS n FROM {_CLEAN} GROUP BY pattern_type ORDER BY n DESC, pattern_type LIMIT 5")
 def top_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.most_frequent_patterns(_findings(spark, sf_dir))
@@ -294,6 +305,25 @@ def localized_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("finding_id", stats.translated(F.col("pattern_type"), d.PATTERN_RU).alias("pattern_ru"), stats.translated(F.col("severity"), d.SEVERITY_RU).alias("severity_ru"), stats.translated(F.col("description"), d.DESCRIPTION_RU).alias("description_ru"))
 
 
+@query(f"""SELECT finding_id, {case_sql('severity', d.CONSOLE_SEVERITY_RU)} AS console_severity, {case_sql('severity', d.WINDOW_SEVERITY_RU)} AS window_severity, {case_sql('pattern_type', d.WINDOW_PATTERN_RU)} AS window_pattern FROM {_CLEAN}""")
+def localized_console_and_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    severity, kind = F.col("severity"), F.col("pattern_type")
+    words = {"console_severity": (severity, d.CONSOLE_SEVERITY_RU), "window_severity": (severity, d.WINDOW_SEVERITY_RU), "window_pattern": (kind, d.WINDOW_PATTERN_RU)}
+    return _findings(spark, sf_dir).select("finding_id", *[stats.translated(c, w).alias(n) for n, (c, w) in words.items()])
+
+
+@query(f"SELECT image_id, {case_sql('document_type', d.DETECTOR_TYPE_RU)} AS type_label, {case_sql('document_type', d.DOCUMENT_DESCRIPTION_RU, q(d.DOCUMENT_DESCRIPTION_DEFAULT))} AS summary FROM image_results")
+def document_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("document_type")
+    return table(spark, sf_dir, "image_results").select("image_id", stats.translated(kind, d.DETECTOR_TYPE_RU).alias("type_label"), image.document_description(kind).alias("summary"))
+
+
+@query("SELECT batch_id, CASE WHEN n < 1024 THEN n || ' Б' WHEN n < 1048576 THEN printf('%.1f КБ', n / 1024) WHEN n < 1073741824 THEN printf('%.1f МБ', n / 1048576) WHEN n < 1099511627776 THEN printf('%.1f ГБ', n / 1073741824) ELSE printf('%.1f ТБ', n / 1099511627776) END AS size FROM (SELECT batch_id, total_size AS n FROM scan_batches WHERE total_size IS NOT NULL UNION ALL SELECT -1, 2199023255552)")
+def batch_sizes_ru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "scan_batches").where("total_size IS NOT NULL").select("batch_id", F.col("total_size").alias("n")).unionByName(spark.createDataFrame([(-1, 2 << 40)], "batch_id int, n long"))
+    return sizes.select("batch_id", x.size_text(F.col("n"), d.SIZE_UNITS_RU).alias("size"))
+
+
 _STATUS = "(SELECT DISTINCT * REPLACE (lower(trim(scan_status)) AS scan_status) FROM (SELECT DISTINCT * FROM file_status))"
 
 
@@ -352,7 +382,9 @@ def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "findings").where("file_path IS NOT NULL").select("file_path", ignore.IgnoreRules.default().column(F.col("file_path")).alias("ignored")).distinct()
 
 
-@query("SELECT DISTINCT file_path, g.\"glob\" FROM findings, (VALUES " + ", ".join(f"({q(g)}, {q(ignore.glob_to_regex(g))})" for g in GLOBS) + ") AS g(\"glob\", re) WHERE file_path IS NOT NULL AND regexp_matches(file_path, re)")
+# written out by hand: two stars are anything, one star and a question mark stop at slashes, all else is literal
+@query("""SELECT DISTINCT file_path, g.\"glob\" FROM findings, (VALUES ('**/config/**', '^.*/config/.*$'), ('/srv/*/hollow-*/**', '^/srv/[^/]*/hollow-[^/]*/.*$'), ('**.sq?', '^.*[.]sq[^/]$'), ('*.go', '^[^/]*[.]go$')) AS g(\"glob\", re)
+    WHERE file_path IS NOT NULL AND regexp_matches(file_path, re)""")
 def glob_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = table(spark, sf_dir, "findings").where("file_path IS NOT NULL").select("file_path").distinct()
     hits = F.array_compact(F.array(*[F.when(F.col("file_path").rlike(ignore.glob_to_regex(g)), g) for g in GLOBS]))
@@ -423,16 +455,76 @@ def date_name_code_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "image_results").select("image_id", s["structure_score"].alias("structure_score"), s["has_dates"].alias("has_dates"), s["has_names"].alias("has_names"), image.barcode_signal(t).alias("barcode_score"))
 
 
-@query()
+_SHAPED = " OR ".join(f"regexp_matches(z, {q(p)})" for p in d.IMAGE_MRZ_SHAPES)
+_NEAR = " ".join(f"WHEN abs(r - {v}::DOUBLE) < {tolerance}::DOUBLE OR abs(1 / r - {v}::DOUBLE) < {tolerance}::DOUBLE THEN {{{k}}}" for tolerance, _ in ((0.08, 12.0), (0.15, 5.0)) for k, (_, v) in enumerate(d.DOCUMENT_RATIOS))
+_KINDS = [q(kind) for kind, _ in d.DOCUMENT_RATIOS]
+_NEAR_KIND = _NEAR.format(*_KINDS)
+_NEAR_SCORE = " ".join(part.rpartition(" THEN ")[0] + f" THEN {12.0 if k < len(_KINDS) else 5.0}::DOUBLE" if part else "" for k, part in enumerate(("WHEN" + y) for y in _NEAR_KIND.split("WHEN")[1:]))
+_PHOTO = "(" + " OR ".join(f"abs(r - {v}::DOUBLE) < 0.05::DOUBLE" for v in d.PHOTO_RATIOS) + ") AND px < 500000"
+
+
+def _has_word(*words: str) -> str:
+    return " OR ".join(f"contains(lower(t), {q(w)})" for w in words)
+
+
+def _weighed(weights: dict[str, float]) -> str:
+    parts = {"mrz": "mrz_score / 70 * 100", "keywords": "keyword_score / 30 * 100", "barcode": "barcode_score / 20 * 100", "geometry": "geometry_score / 15 * 100", "structure": "structure_score / 20 * 100", "quality": "quality_score / 10 * 100"}
+    return " + ".join(f"({v}) * {weights[k]}::DOUBLE" for k, v in parts.items())
+
+
+_DIGIT_PLACES = " + ".join(f"CASE WHEN regexp_matches(ls[2][{p + 1}], '^[0-9<]$') THEN 1 ELSE 0 END" for p in (9, 13, 19, 27, 43))
+_TOLD = "(keyword_score > 10 OR mrz_score > 0 OR structure_score > 10)"
+_JUDGED_SQL = f"""
+    WITH src AS (
+        SELECT image_id, file_path, extracted_text AS t, CASE WHEN image_width > 0 AND image_height > 0 THEN image_width::DOUBLE / image_height::DOUBLE END AS r, image_width::BIGINT * image_height::BIGINT AS px,
+               list_filter(list_transform(string_split(coalesce(extracted_text, ''), chr(10)), lambda y: translate(upper(replace(trim(regexp_replace(y, '^\\s+|\\s+$', '', 'g'), ' '), 'ß', 'ss')), 'O ', '0')), lambda z: strlen(z) >= 20 AND length(regexp_replace(z, '[^A-Z0-9<]', '', 'g')) / strlen(z) > 0.85) AS ls
+        FROM image_results
+    ), words AS (
+        SELECT image_id AS i, least(30, coalesce(sum(n) FILTER (contains(lower(extracted_text), w)), 0))::DOUBLE AS keyword_score, count(*) FILTER (contains(lower(extracted_text), w))::INT AS keywords_found FROM image_results, {_KEYWORDS_SQL} GROUP BY image_id
+    ), marks AS (
+        SELECT image_id AS j, (CASE WHEN dates THEN 10 ELSE 0 END + CASE WHEN zone THEN 10 ELSE CASE WHEN n1 THEN 5 ELSE 0 END + CASE WHEN n2 THEN 5 ELSE 0 END END)::DOUBLE AS structure_score,
+               CASE WHEN contains(t, 'ANSI ') OR contains(t, 'AAMVA') THEN 20.0::DOUBLE WHEN regexp_matches(upper(t), '[A-Z0-9]{{20,}}') THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS barcode_score
+        FROM (SELECT image_id, t, {_DATES} AS dates, regexp_matches(t, '[A-Z]+<<[A-Z<]+') AS zone, regexp_matches(t, {q(_N1)}) AS n1, regexp_matches(t, {q(_N2)}) AS n2 FROM (SELECT image_id, coalesce(extracted_text, '') AS t FROM image_results))
+    ), signals AS (
+        SELECT *, coalesce({_PHOTO}, false) AS photo, CASE WHEN coalesce({_PHOTO}, false) THEN 'passport_photo' {_NEAR_KIND} END AS g_type, CASE WHEN coalesce({_PHOTO}, false) THEN 0.0::DOUBLE {_NEAR_SCORE} ELSE 0.0::DOUBLE END AS geometry_score,
+               CASE WHEN px > 2000000 THEN 10.0::DOUBLE WHEN px > 500000 THEN 7.0::DOUBLE ELSE 3.0::DOUBLE END AS quality_score, len(list_filter(ls, lambda z: {_SHAPED})) > 0 AS shaped,
+               len(ls) >= 2 AND (ls[1][1] = 'P' AND strlen(ls[1]) >= 44 AND strlen(ls[2]) >= 44 AND {_DIGIT_PLACES} >= 3 OR ls[1][1] IN ('I', 'A', 'C')) AS whole,
+               CASE WHEN {_has_word('passport', 'паспорт')} THEN 'passport' WHEN {_has_word('driver', 'водительское')} THEN 'driver_license' WHEN {_has_word('снилс')} THEN 'snils' WHEN {_has_word('инн')} THEN 'inn' WHEN {_has_word('id', 'identity')} THEN 'id_card' END AS kt
+        FROM src JOIN words ON image_id = i JOIN marks ON image_id = j
+    ), scored AS (
+        SELECT *, shaped AND whole AS mrz_parsed, CASE WHEN shaped AND whole THEN 70.0::DOUBLE WHEN shaped THEN 60.0::DOUBLE WHEN len(ls) > 0 THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END AS mrz_score FROM signals
+    ), summed AS (
+        SELECT *, CASE WHEN photo THEN 0.0::DOUBLE WHEN mrz_score = 0 THEN {_weighed(d.WEIGHTS_WITHOUT_MRZ)} ELSE {_weighed(d.SIGNAL_WEIGHTS)} END AS s FROM scored
+    ), judged AS (
+        SELECT *, NOT photo AND s >= 40 AND {_TOLD} AS is_document, round(s, 4) AS final_score,
+               CASE WHEN photo THEN 'Нет' WHEN s >= 65 AND {_TOLD} THEN 'Высокая' WHEN s >= 40 AND {_TOLD} THEN 'Средняя' WHEN s >= 25 THEN 'Низкая' ELSE 'Нет' END AS confidence,
+               CASE WHEN photo THEN 'passport_photo' WHEN mrz_parsed THEN 'passport' ELSE coalesce(g_type, kt, CASE WHEN NOT photo AND s >= 40 AND {_TOLD} THEN 'unknown_document' END) END AS document_type,
+               CASE WHEN mrz_parsed THEN trim(regexp_replace(translate(ls[1][6:44], '<', ' '), ' +', ' ', 'g'), ' ') END AS mrz_names
+        FROM summed
+    )"""
+
+
+@query(_JUDGED_SQL + " SELECT image_id, quality_score, geometry_score, mrz_score, keyword_score, keywords_found, structure_score, barcode_score, final_score, confidence, is_document, document_type, mrz_names FROM judged")
 def image_final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image.judged(spread(table(spark, sf_dir, "image_results").select("image_id", "image_width", "image_height", "extracted_text")), "image_id", "image_width", "image_height", "extracted_text")
 
 
-@query()
+def _warnings_sql(kind: str, score: str) -> str:
+    return f"array_to_string(list_filter([CASE WHEN {score} >= 80 THEN {q(d.IMAGE_WARNINGS['leak'])} END, CASE WHEN {score} >= 60 THEN {q(d.IMAGE_WARNINGS['identity'])} END, CASE WHEN contains({kind}, 'passport') THEN {q(d.IMAGE_WARNINGS['passport'])} END], lambda z: z IS NOT NULL), '|')"
+
+
+@query(_JUDGED_SQL + f"""
+    SELECT image_id, file_path, 1 AS line_number, 'passport' AS pattern_type, 'critical' AS severity, CASE WHEN mrz_names IS NOT NULL THEN 'Паспорт с MRZ' ELSE {case_sql('document_type', d.IMAGE_TYPE_RU, q(d.IMAGE_TYPE_DEFAULT))} END || ' обнаружен' AS description,
+           document_type AS matched_text, CASE WHEN mrz_names IS NOT NULL THEN 'MRZ: ' || mrz_names ELSE 'Изображение документа (confidence: ' || confidence || ')' END AS context, final_score AS risk_score,
+           CASE WHEN final_score >= 80 THEN 'critical' WHEN final_score >= 60 THEN 'high' WHEN final_score >= 40 THEN 'medium' ELSE 'low' END AS risk_level, {_warnings_sql('document_type', 'final_score')} AS warnings,
+           CASE WHEN contains(document_type, 'passport') THEN {q('|'.join(d.IMAGE_DATA['passport']))} WHEN contains(document_type, 'id_card') OR contains(document_type, 'driver') THEN {q('|'.join(d.IMAGE_DATA['card']))} ELSE {q('|'.join(d.IMAGE_DATA['other']))} END AS data_found,
+           {case_sql('document_type', d.DOCUMENT_DESCRIPTION_RU, q(d.DOCUMENT_DESCRIPTION_DEFAULT))} AS summary
+    FROM judged WHERE is_document""")
 def image_document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = spread(table(spark, sf_dir, "image_results").select("image_id", "file_path", "image_width", "image_height", "extracted_text"))
     found = image.judged(images, "image_id", "image_width", "image_height", "extracted_text", keep=("file_path",))
-    return image.document_findings(found, "image_id", F.col("file_path"))
+    joined = {c: F.array_join(c, "|") for c in ("warnings", "data_found")}
+    return image.document_findings(found, "image_id", F.col("file_path")).withColumns(joined)
 
 
 @query(f"""SELECT image_id, CASE WHEN final_score >= 80 THEN 'critical' WHEN final_score >= 60 THEN 'high' WHEN final_score >= 40 THEN 'medium' ELSE 'low' END AS risk_level,
@@ -481,7 +573,53 @@ def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query()
+def _fits_sql(data: str, digit: str) -> str:
+    total = f"list_sum(list_transform(range(1, strlen({data}) + 1), lambda i: (strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', replace(upper({data}), '<', '0')[i]) - 1) * [7, 3, 1][((i - 1) % 3 + 1)::INT]))"
+    return f"coalesce(regexp_full_match({digit}, '[0-9]') AND regexp_full_match(upper({data}), '[0-9A-Z<]+') AND ({total}) % 10 = try_cast({digit} AS INT), false)"
+
+
+def _unfilled_sql(s: str) -> str:
+    return f"trim(regexp_replace(translate({s}, '<', ' '), ' {{2,}}', ' ', 'g'), ' ')"
+
+
+_CHECKS = {"document_number": ("two[1:9]", "two[10]"), "date_of_birth": ("two[14:19]", "two[20]"), "expiry_date": ("two[22:27]", "two[28]"), "personal_number": ("two[29:42]", "two[43]"), "overall": ("two[1:10] || two[14:20] || two[22:43]", "two[44]")}
+_DATE = "'[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])'"
+_PARSED_SQL = f"""
+    WITH cleaned AS (
+        SELECT mrz_id, list_filter(list_transform(string_split(array_to_string(raw_lines, chr(10)), chr(10)),
+                   lambda y: replace(translate(upper(trim(regexp_replace(y, '^[\\t\\r\\f ]+|[\\t\\r\\f ]+$', '', 'g'), ' ')), {q(mrz.FILLERS)}, {q('<' * len(mrz.FILLERS))}), ' ', '')),
+                   lambda z: strlen(z) BETWEEN 28 AND 46 AND length(regexp_replace(z, '[^A-Z0-9<]', '', 'g')) / strlen(z) >= 0.9 AND (length(regexp_replace(z, '[^A-Z0-9<]', '', 'g')) / strlen(z) > 0.95 OR strlen(z) IN (30, 36, 44))) AS ls
+        FROM parsed_mrz WHERE raw_lines IS NOT NULL
+    ), zones AS (
+        SELECT mrz_id, CASE WHEN len(list_filter(ls, lambda z: strlen(z) = 44)) >= 2 THEN list_filter(ls, lambda z: strlen(z) = 44)[1:2] WHEN len(list_filter(ls, lambda z: strlen(z) = 36)) >= 2 THEN list_filter(ls, lambda z: strlen(z) = 36)[1:2]
+               WHEN len(list_filter(ls, lambda z: strlen(z) = 30)) >= 3 THEN list_filter(ls, lambda z: strlen(z) = 30)[1:3] ELSE ls[1:2] END AS ls FROM cleaned WHERE len(ls) > 0
+    ), typed AS (
+        SELECT *, ls[1] AS one, ls[2] AS two, ls[3] AS three,
+               CASE WHEN len(ls) >= 2 AND least(strlen(ls[1]), strlen(ls[2])) >= 44 AND ls[1][1] = 'P' THEN 'TD3' WHEN len(ls) >= 2 AND least(strlen(ls[1]), strlen(ls[2])) >= 44 AND ls[1][1] = 'V' THEN 'MRVA'
+                    WHEN len(ls) >= 2 AND least(strlen(ls[1]), strlen(ls[2])) >= 36 AND ls[1][1] = 'V' THEN 'MRVB' WHEN len(ls) >= 2 AND least(strlen(ls[1]), strlen(ls[2])) >= 36 THEN 'TD2'
+                    WHEN len(ls) >= 3 AND strlen(ls[1]) >= 30 THEN 'TD1' ELSE 'Unknown' END AS mrz_type
+        FROM zones
+    ), parts AS (
+        SELECT *, mrz_type IN ('TD3', 'TD2', 'MRVB') AS two_line, mrz_type = 'TD1' AS td1, CASE mrz_type WHEN 'TD3' THEN one[6:44] WHEN 'TD2' THEN one[6:36] WHEN 'MRVB' THEN one[6:36] WHEN 'TD1' THEN three[1:30] ELSE '' END AS names FROM typed
+    ), fields AS (
+        SELECT mrz_id, array_to_string(ls, chr(10)) AS lines, mrz_type, CASE WHEN two_line OR td1 THEN one[1] ELSE '' END AS type_code, CASE WHEN two_line OR td1 THEN {_unfilled_sql('one[3:5]')} ELSE '' END AS issuing_country,
+               {_unfilled_sql("CASE WHEN strpos(names, '<<') > 0 THEN names[1:strpos(names, '<<') - 1] ELSE names END")} AS surname, CASE WHEN strpos(names, '<<') > 0 THEN {_unfilled_sql("substr(names, strpos(names, '<<') + 2)")} ELSE '' END AS given_names,
+               {_unfilled_sql("CASE WHEN two_line THEN two[1:9] WHEN td1 THEN one[6:14] ELSE '' END")} AS document_number, {_unfilled_sql("CASE WHEN two_line THEN two[11:13] WHEN td1 THEN two[16:18] ELSE '' END")} AS nationality,
+               CASE WHEN two_line THEN two[14:19] WHEN td1 THEN two[1:6] ELSE '' END AS date_of_birth, CASE WHEN two_line THEN two[21] WHEN td1 THEN two[8] ELSE '' END AS sex, CASE WHEN two_line THEN two[22:27] WHEN td1 THEN two[9:14] ELSE '' END AS expiry_date,
+               CASE WHEN mrz_type = 'TD3' THEN {_unfilled_sql('two[29:42]')} ELSE '' END AS personal_number, CASE WHEN mrz_type = 'TD3' THEN [{', '.join(_fits_sql(*v) for v in _CHECKS.values())}] END AS fits
+        FROM parts
+    ), counted AS (
+        SELECT *, CASE WHEN fits IS NULL THEN 0 ELSE len(list_filter(fits, lambda f: f)) END::INT AS checks_passed FROM fields
+    ), summed AS (
+        SELECT * EXCLUDE (fits), CASE WHEN fits IS NOT NULL THEN {" || ',' || ".join(f"""'{'{' if k == 0 else ''}"{n}":' || fits[{k + 1}]::VARCHAR""" for k, n in enumerate(_CHECKS))} || '}}' END AS check_digit_results,
+               CASE WHEN fits IS NOT NULL THEN checks_passed / 5::DOUBLE * 40 ELSE 0::DOUBLE END + CASE WHEN surname <> '' THEN 10 ELSE 0 END + CASE WHEN given_names <> '' THEN 10 ELSE 0 END + CASE WHEN document_number <> '' THEN 10 ELSE 0 END
+               + CASE WHEN regexp_full_match(date_of_birth, {_DATE}) THEN 10 ELSE 0 END + CASE WHEN regexp_full_match(expiry_date, {_DATE}) THEN 10 ELSE 0 END + CASE WHEN strlen(nationality) = 3 THEN 5 ELSE 0 END + CASE WHEN sex IN ('M', 'F', '<') THEN 5 ELSE 0 END AS validation_score
+        FROM counted
+    )
+    SELECT *, validation_score >= 50 AND checks_passed > 0 AS is_valid FROM summed"""
+
+
+@query(_PARSED_SQL)
 def mrz_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = table(spark, sf_dir, "parsed_mrz").select("mrz_id", F.array_join("raw_lines", "\n").alias("text"))
     return mrz.parsed(zones, "mrz_id", "text").withColumn("check_digit_results", F.to_json("check_digit_results")).withColumn("lines", F.array_join("lines", "\n"))
