@@ -54,7 +54,15 @@ def test_long_line_ends_a_file(spark):
     assert [r[0] for r in df.select(scan.too_long_lines(F.col("t"))).collect()] == [True, False, False]
 
 
-def test_rule_lookup_and_broken_rules():
+def test_rules_only_java_knows(spark):
+    own = [Rule(100 + k, f"r{k}", "low", p, "") for k, p in enumerate([r"\p{Lu}{3}\d+", r"(?i)\p{Lu}abc", r"(?P<who_is>[a-z]+)=1", r"(?i)(?P<n>key)\s", "[", r"\p{Nothing}"])]
+    assert [r.type for r in valid_rules(own, spark)] == ["r0", "r1", "r2", "r3"]
+    df = spark.createDataFrame([(1, "ABC12 Xabc who=1"), (2, "KEY ")], "id int, text string")
+    got = {(r["id"], r["pattern_type"]) for r in scan.findings(df, "id", "text", valid_rules(own, spark)).collect()}
+    assert got == {(1, "r0"), (1, "r1"), (1, "r2"), (2, "r3")}
+
+
+def test_rule_lookup_and_broken_rules(spark):
     assert rule("ssn").ordinal == 8 and rule("nothing") is None
     assert [r.type for r in valid_rules([RULES[0], Rule(99, "bad", "low", "(", "broken")])] == ["password"]
     assert re.search(to_java(r"(?i)k[s-t]"), "\u212a\u017f")

@@ -2,6 +2,7 @@ import csv
 import gzip
 import io
 import json
+import struct
 import tarfile
 import zipfile
 
@@ -10,11 +11,24 @@ import pytest
 from veilscan import cli
 from veilscan.operators import stats
 from veilscan.sinks import export, report
-from veilscan.sources import extract
+from veilscan.sources import extract, images
 from veilscan.sources.files import ScanOptions, listed, scan_files
 from veilscan.streaming.scanner import StreamScan
 
 
+class PlainZip:
+    """A writer without encryption."""
+
+    def __init__(self, archive, password):
+        self.z = zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED)
+
+    def add(self, path, name):
+        self.z.write(path, name)
+
+    def close(self):
+        self.z.close()
+
+
 def make_zip(members):
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
@@ -142,12 +156,12 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_export(tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.txt").write_text("x" * 100)
-    s = export.export([str(tmp_path / "d")], str(tmp_path / "a.zip"), "long password", export.PlainZip)
+    s = export.export([str(tmp_path / "d")], str(tmp_path / "a.zip"), "long password", PlainZip)
     assert s.files == 1 and s.total_size == 100 and zipfile.ZipFile(tmp_path / "a.zip").namelist() == ["d/a.txt"]
     with pytest.raises(FileNotFoundError):
-        export.export([str(tmp_path / "none")], str(tmp_path / "b.zip"), "long password", export.PlainZip)
+        export.export([str(tmp_path / "none")], str(tmp_path / "b.zip"), "long password", PlainZip)
     with pytest.raises(InterruptedError):
-        export.export([str(tmp_path / "d")], str(tmp_path / "c.zip"), "long password", export.PlainZip, lambda: True)
+        export.export([str(tmp_path / "d")], str(tmp_path / "c.zip"), "long password", PlainZip, lambda: True)
     assert not (tmp_path / "c.zip").exists()
     assert len(export.generate_password(4)) == 8 and len(export.generate_password(500)) == 128 and not export.valid_password("abc")
 
@@ -156,3 +170,42 @@ def test_command_line(spark, tree, tmp_path, capsys):
     assert cli.main(["scan", str(tree), "--out", str(tmp_path / "r")], spark) == 0
     assert len(list((tmp_path / "r").iterdir())) == 3 and "files_scanned" in capsys.readouterr().out
     assert cli.main(["scan", str(tree / "none")], spark) == 1 and cli.main(["help"]) == 0 and cli.main(["deps"]) == 0
+
+
+def png(width, height, text=b""):
+    return b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", width, height) + b"\x08\x02\0\0\0" + text
+
+
+ZONE = b"P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<"
+
+
+def test_sides_of_images():
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + struct.pack(">HH", 20, 30) + b"rest"
+    assert images.sides(png(640, 480)) == (640, 480) and images.sides(jpeg) == (30, 20) and images.sides(b"GIF89a" + struct.pack("<HH", 7, 9)) == (7, 9)
+    assert images.sides(b"") == images.sides(b"\xff\xd8") == images.sides(b"abc") == (None, None)
+    assert images.readable_bytes(b"a\x00b\nc\xff") == "ab c"
+
+
+def test_images_and_pages_are_findings(spark, tmp_path):
+    words = b" passport surname nationality date of birth 01.02.1990 03.04.2020 "
+    (tmp_path / "scan.png").write_bytes(png(1250, 880, words))
+    (tmp_path / "plain.png").write_bytes(png(100, 900))
+    (tmp_path / "a.pdf").write_bytes(b"BT (mail a@b.io) Tj ET")
+    zone, drawn = "passport\n" + ZONE.decode() + "\nL898902C36UTO7408122F1204159ZE184226B<<<<<10", [(1, png(9, 90)), (2, png(1250, 880, b"passport"))]
+    read_text = lambda data: zone if b"passport" in data else ""
+    found, status = scan_files(spark, str(tmp_path), ScanOptions(images=True, documents=True, ocr=read_text, pdf_pages=lambda data: drawn))
+    rows = {(r["file_path"].rsplit("/", 1)[-1], r["line_number"], r["description"], r["severity"]) for r in found.collect() if r["pattern_type"] == "passport" and r["matched_text"] == "passport"}
+    assert rows == {("scan.png", 1, "Паспорт с MRZ обнаружен", "critical"), ("a.pdf", 2, "Паспорт с MRZ обнаружен в PDF", "critical")}
+    assert {r["context"] for r in found.where("description = 'Паспорт с MRZ обнаружен'").collect()} == {"MRZ: ERIKSS0N ANNA MARIA"}
+    assert {(r["file_path"].rsplit("/", 1)[-1], r["scan_status"]) for r in status.collect()} == {("scan.png", "scanned"), ("plain.png", "scanned"), ("a.pdf", "scanned")}
+    without, _ = scan_files(spark, str(tmp_path), ScanOptions(images=True))  # judged by the bytes of the file
+    assert {r["file_path"].rsplit("/", 1)[-1] for r in without.where("pattern_type = 'passport'").collect()} <= {"scan.png"}
+
+
+def test_damaged_archives_give_what_can_be_read():
+    packed = make_tar({"a.txt": b"password=secret123 " * 40, "b.txt": bytes(range(256)) * 4000}, "w:gz")
+    assert "=== a.txt ===" in "".join(t for _, t in extract.pieces_of("x.tgz", packed[: len(packed) // 2]))
+    whole = bytearray(make_zip({"a.txt": "password=secret123", "b.txt": "token"}))
+    at = whole.index(b"password")
+    whole[at] ^= 1  # its checksum no longer fits
+    assert extract.text_of("x.zip", bytes(whole)) == "=== b.txt ===\ntoken"

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import SparkSession
+
 SEVERITY_SCORE = {"critical": 4, "high": 3, "medium": 2, "low": 1}  # anything else scores 0
 
 
@@ -58,9 +61,17 @@ def to_java(re2: str) -> str:
         c = re2[i]
         if c == "\\":
             e = re2[i + 1]
+            if e in "pP" and (m := re.match(r"\\[pP](?:\{[^}]*\}|.)", re2[i:])):
+                out.append(m.group())  # the name of a property is no letter to fold
+                i += m.end()
+                continue
             out.append({"b": _BOUNDARY, "s": _BLANKS if inside else f"[{_BLANKS}]"}.get(e, c + e))
             i += 2
             continue
+        if not inside and (m := re.match(r"\(\?P?<([A-Za-z][A-Za-z0-9_]*)>", re2[i:])):
+            out.append(f"(?<{m[1].replace('_', 'U')}>")  # nor is that of a group, which Java spells without P and _
+            i += m.end()
+            continue
         if c == "[" and not inside:
             inside = True
         elif c == "]":
@@ -88,13 +99,16 @@ def rule(type_: str) -> Rule | None:
     return next((r for r in RULES if r.type == type_), None)
 
 
-def valid_rules(rules: list[Rule]) -> list[Rule]:
-    """Rules whose pattern compiles; the others are left out silently."""
-    kept = []
+def valid_rules(rules: list[Rule], spark: SparkSession | None = None) -> list[Rule]:
+    """Rules whose pattern Java compiles; the others are left out silently. Without a session all are taken as they are."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return list(rules)
+    compiler, kept = spark.sparkContext._jvm.java.util.regex.Pattern, []
     for r in rules:
         try:
-            re.compile(r.java)
+            compiler.compile(r.java)
             kept.append(r)
-        except re.error:
+        except IllegalArgumentException:
             pass
     return kept

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import secrets
 import string
-import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -72,16 +71,3 @@ def export(paths: list[str], archive: str, password: str, writer: Callable | Non
             os.remove(archive)
         raise
     return ExportStats(done, size, os.path.getsize(archive))
-
-
-class PlainZip:
-    """A writer without encryption, for tests and for folders that are encrypted themselves."""
-
-    def __init__(self, archive: str, password: str):
-        self.z = zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED)
-
-    def add(self, path: str, name: str) -> None:
-        self.z.write(path, name)
-
-    def close(self) -> None:
-        self.z.close()

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import codecs
+import contextlib
 import gzip
 import io
 import re
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from typing import IO
 
@@ -94,7 +96,10 @@ def zipped(data: bytes) -> str:
             if i.flag_bits & 1:
                 out.append(f"[encrypted member: {i.filename}]")
             elif i.file_size <= MEMBER_LIMIT and ending(i.filename) in ZIP_TEXT | {".docx"}:
-                raw = z.read(i)
+                try:
+                    raw = z.read(i)
+                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, OSError):
+                    continue  # a damaged member; the others are read
                 out.append(_member(i.filename, docx(raw) if ending(i.filename) == ".docx" else _decoded(raw)))
     return "\n\n".join(out)
 
@@ -110,13 +115,28 @@ def _blocks(f: IO[bytes]) -> Iterator[str]:
 def _members(data: bytes, mode: str, most: int | None) -> Iterator[str]:
     sep = ""
     with tarfile.open(fileobj=io.BytesIO(data), mode=mode) as t:
-        for m in t:
+        for m in _until_damaged(t):
             if m.isfile() and (most is None or m.size <= most) and ending(m.name) in TAR_TEXT:
                 yield sep + _member(m.name, "")
                 yield from _blocks(t.extractfile(m))
                 sep = "\n\n"
 
 
+def _until_damaged(t: tarfile.TarFile) -> Iterator[tarfile.TarInfo]:
+    """Members of an archive; one that is cut off ends them, and those before it count."""
+    members = iter(t)
+    while True:
+        try:
+            m = next(members)
+            if m.isfile() and t.fileobj is not None:
+                with contextlib.closing(t.extractfile(m)) as f:  # a member that is cut off raises here
+                    while f.read(BLOCK):
+                        pass
+            yield m
+        except (StopIteration, EOFError, OSError, zlib.error, tarfile.TarError):
+            return
+
+
 def tarred(data: bytes) -> str:
     return "".join(_members(data, "r:", MEMBER_LIMIT))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dictionaries import ARCHIVE_EXTENSIONS, DOCUMENT_EXTENSIONS, IMAGE_EXTENSIONS, PRESETS
-from ..operators import scan
+from ..operators import image, scan
 from ..operators.ignore import IgnoreRules, only_extensions
-from . import extract
+from . import extract, images
 
 LISTED = "path string, length long"
-READ = "path string, length long, route string, scan_status string, skip_reason string, text string, part int, lines_before long"
+READ = "path string, length long, route string, scan_status string, skip_reason string, text string, part int, lines_before long, page int, width int, height int, seen string"
+READ_COLUMNS = [c.split()[0] for c in READ.split(", ")]
 IGNORE_FILE = ".veilscan-ignore"
 
 
@@ -29,6 +30,7 @@ class ScanOptions:
     only: list[str] = field(default_factory=list)
     rules: IgnoreRules | None = None
     ocr: Callable[[bytes], str] | None = None
+    pdf_pages: Callable[[bytes], Iterable[tuple[int, bytes]]] | None = None
     partitions: int = 0
 
     def preset(self, name: str) -> ScanOptions:
@@ -101,58 +103,73 @@ def listed(spark: SparkSession, root: str, options: ScanOptions) -> DataFrame:
 
 
 def read(files: DataFrame, options: ScanOptions) -> DataFrame:
-    """(path, length, route, scan_status, skip_reason, text, part, lines_before) of listed files.
+    """What listed files hold: path, length, route, scan_status, skip_reason, text, part, lines_before; and of images and
+    of pages of a PDF page, width, height and seen, the text that is judged.
 
     What a gzip file holds comes in pieces of whole lines, a row each; the first row of every file is part 0.
 
     Whitelist and size are decided before a byte is read. Route is text, document, archive or image. A NUL in the first
-    512 bytes makes a file binary, which is skipped without a reason, like a file too large or of another extension.
+    512 bytes makes a file binary, which is skipped without a reason, like a file too large or of another extension. An
+    image is judged by its sides and the text a reader given by the caller finds in it, else by its readable bytes; pages
+    of a PDF are judged where the caller gives a function that draws them.
     """
-    ocr, docs, archives, images, most = options.ocr, options.documents, options.archives, options.images, options.max_size
+    ocr, pages_of, docs, archives, pictures, most = options.ocr, options.pdf_pages, options.documents, options.archives, options.images, options.max_size
     known_docs = {e for e in DOCUMENT_EXTENSIONS if e not in (".pptx", ".ppt", ".odt", ".ods", ".odp")}
 
     def one(path: str, length: int) -> Iterator[tuple]:
         e = extract.ending(path)
         route = "document" if e in known_docs else "archive" if e in ARCHIVE_EXTENSIONS else "image" if e in IMAGE_EXTENSIONS else "text"
-        off = {"document": not docs, "archive": not archives, "image": not images}.get(route, False)
-        def left(status: str, reason: str | None) -> tuple:
-            return path, length, route, status, reason, None, 0, 0
+        off = {"document": not docs, "archive": not archives, "image": not pictures}.get(route, False)
+
+        def row(status: str, reason: str | None = None, text: str | None = None, part: int = 0, before: int = 0, page: int | None = None, seen: tuple = (None, None, None)) -> tuple:
+            return path, length, route, status, reason, text, part, before, page, *seen
 
         if off:
-            yield left("skipped", f"{route} scanning is off")
-            return
-        if route == "image" and ocr is None:
-            yield left("skipped", "no reader for images")
+            yield row("skipped", f"{route} scanning is off")
             return
         try:
             with open(path, "rb") as f:
                 data = f.read(most + 1)
         except OSError as x:
-            yield left("error", str(x))
+            yield row("error", str(x))
             return
         if route == "text":
-            yield left("skipped", None) if b"\0" in data[:512] else (path, length, route, "scanned", None, data.decode("utf-8", "replace"), 0, 0)
+            yield row("skipped") if b"\0" in data[:512] else row("scanned", text=data.decode("utf-8", "replace"))
             return
+        if route == "image":
+            text, failed = None, None
+            try:
+                text = ocr(data) if ocr else None
+            except Exception as x:  # readers raise whatever they raise; the image is judged all the same
+                failed = f"extraction failed: {x}"
+            yield row("scanned", failed, text=text if text and text.strip() else None, page=1, seen=(*images.sides(data), text or images.readable_bytes(data)))
+            return
+        if e == ".pdf" and pages_of:
+            try:
+                for number, drawn in pages_of(data):
+                    yield row("page", part=-1, page=number, seen=(*images.sides(drawn), (ocr(drawn) if ocr else None) or images.readable_bytes(drawn)))
+            except Exception:  # a PDF that cannot be drawn still has a text
+                pass
         part = 0
         try:
             for before, text in extract.pieces_of(path, data, ocr):
                 if text.strip():
-                    yield path, length, route, "scanned", None, text, part, before
+                    yield row("scanned", text=text, part=part, before=before)
                     part += 1
         except Exception as x:  # damaged containers raise whatever their reader raises
-            yield left("error", f"extraction failed: {x}")
+            yield row("error", f"extraction failed: {x}")
             return
         if not part:
-            yield left("skipped", "no text")
+            yield row("skipped", "no text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, length in zip(batch["path"], batch["length"]):  # one file in memory at a time
                 for row in one(path, length):
-                    yield pd.DataFrame([row], columns=["path", "length", "route", "scan_status", "skip_reason", "text", "part", "lines_before"])
+                    yield pd.DataFrame([row], columns=READ_COLUMNS).astype({"page": "Int32", "width": "Int32", "height": "Int32"})
 
     fits = only_extensions(F.col("path"), options.only) & (F.col("length") <= options.max_size)
-    left_out = files.where(~fits).select("path", "length", F.lit(None).cast("string").alias("route"), F.lit("skipped").alias("scan_status"), F.lit(None).cast("string").alias("skip_reason"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("lines_before"))
+    left_out = files.where(~fits).select("path", "length", F.lit(None).cast("string").alias("route"), F.lit("skipped").alias("scan_status"), F.lit(None).cast("string").alias("skip_reason"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("lines_before"), *[F.lit(None).cast(t).alias(c) for c, t in (("page", "int"), ("width", "int"), ("height", "int"), ("seen", "string"))])
     taken = files.where(fits)
     if options.partitions:
         taken = taken.repartition(options.partitions)
@@ -161,16 +178,23 @@ def read(files: DataFrame, options: ScanOptions) -> DataFrame:
 
 def scan_files(spark: SparkSession, root: str, options: ScanOptions | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, file_status) of a tree. A text file with a line of 64 KiB or more is an error without findings; findings
-    of archives and recognised images carry a mark at the end of their path."""
+    of archives and of the text in images carry a mark at the end of their path. An image, or a page of a PDF, that is a
+    document is a critical finding itself."""
     options = (options or ScanOptions()).clamped()
     texts = read(listed(spark, root, options), options)
     long_line = (F.col("route") == "text") & scan.too_long_lines(F.col("text"))
     texts = texts.withColumn("scan_status", F.when(long_line, "error").otherwise(F.col("scan_status")))
     status = texts.where("part = 0").select(F.col("path").alias("file_path"), "scan_status", "skip_reason", F.col("length").alias("size_bytes"))
-    good = texts.where("scan_status = 'scanned'")
+    good = texts.where("scan_status = 'scanned' AND text IS NOT NULL")
     mark = F.when(F.col("route") == "archive", F.lit(" (архив)")).when(F.col("route") == "image", F.lit(" (OCR)")).otherwise(F.lit(""))
     good = good.select(F.concat("path", mark).alias("file_path"), "route", "text", "lines_before")
     plain = scan.findings(good.where("route = 'text'"), "file_path", "text", strip_cr=True)
     pieces = good.where("route <> 'text'").select(F.struct("file_path", "lines_before").alias("piece"), "text")
     extracted = scan.findings(pieces, "piece", "text").withColumn("line_number", (F.col("line_number") + F.col("piece.lines_before")).cast("int"))
-    return plain.unionByName(extracted.withColumn("piece", F.col("piece.file_path")).withColumnRenamed("piece", "file_path")), status
+    found = plain.unionByName(extracted.withColumn("piece", F.col("piece.file_path")).withColumnRenamed("piece", "file_path"))
+    if options.images or options.pdf_pages:
+        judged = image.judged(texts.where("seen IS NOT NULL"), "path", "width", "height", "seen", keep=("route", "page"))
+        documents = [image.document_findings(judged.where("route = 'image'"), "path", F.col("path")), image.document_findings(judged.where("route = 'document'"), "path", F.col("path"), F.col("page"))]
+        for some in documents:
+            found = found.unionByName(some.select([c for c in some.columns if c in found.columns]), allowMissingColumns=True)
+    return found, status
