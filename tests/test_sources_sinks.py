@@ -149,8 +149,15 @@ def test_stream_equals_batch(spark, tmp_path):
     key = ["line_number", "column_start", "pattern_type", "matched_text"]
     assert sorted(map(tuple, s.result().select(*key).collect())) == sorted(map(tuple, batch.select(*key).collect()))
     (src / "f9.txt").write_bytes(b"\xff\xfe password=another9")
+    (src / "b.bin").write_bytes(b"a\0b")
+    (src / "big.txt").write_text("password=secret9 " * 200)
+    told, ignored = [], spark.createDataFrame([(f"file://{src}/f9.txt",), (f"file:{src}/f9.txt",)], "file_path string")
+    s = StreamScan(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp"), max_size=2000).ignoring(ignored).on_batch(lambda df, n: told.append(df.count()))
     s.start(once=True).wait()
-    assert s.result().count() == 7
+    assert s.result().count() == 7 and told == [0]
+    assert {(r["path"].rsplit("/", 1)[-1], r["scan_status"], r["skip_reason"]) for r in s.statuses().where("path NOT LIKE '%f0%' AND path NOT LIKE '%f1%' AND path NOT LIKE '%f2%'").collect()} == {("f9.txt", "scanned", None), ("b.bin", "skipped", "binary"), ("big.txt", "skipped", "size")}
+    assert s.counters().first().asDict() == {"files": 6, "scanned": 4, "skipped": 2, "errors": 0, "bytes": 3 * len("password=secret0\nmail a0@b.io") + 20 + 3 + 3400, "findings": 7}
+    assert s.findings_of(s.result().first()["file_path"]).count() >= 1
 
 
 def test_export(tmp_path):

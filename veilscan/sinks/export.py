@@ -1,4 +1,4 @@
-"""Archives of selected files and their passwords; driver-side, outside the DataFrame plan."""
+"""Archives of selected files and their passwords; driver-side, outside the DataFrame plan; and tables of texts as files."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ import string
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 SYMBOLS = "!@#$%^&*()-_=+[]{}"
 
 
@@ -22,6 +25,26 @@ class ExportStats:
         return self.archive_size / self.total_size if self.total_size else 0.0
 
 
+def texts_as_files(texts: DataFrame, name_col: str, text_col: str, folder: str) -> int:
+    """Every text of a table as a file of its own in a folder the executors share; returns their number. Null texts have
+    none. Names must be unique; a task that runs again writes the same files again."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, text in zip(batch["name"], batch["text"]):
+                system.create_dir(os.path.dirname(f"{path}/{name}"))
+                with system.open_output_stream(f"{path}/{name}") as f:
+                    f.write(text.encode("utf-8", "replace"))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    rows = texts.where(F.col(text_col).isNotNull()).select(F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def generate_password(length: int = 32, symbols: bool = True) -> str:
     """Of 8 to 128 signs, each drawn evenly."""
     signs = string.ascii_letters + string.digits + (SYMBOLS if symbols else "")

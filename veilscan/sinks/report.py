@@ -28,14 +28,14 @@ def json_rows(findings: DataFrame) -> DataFrame:
     return findings.select(row.alias("value"), *ORDER)
 
 
-def csv_rows(findings: DataFrame) -> DataFrame:
+def csv_rows(findings: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns of the CSV report under its header, texts cut to 100 bytes."""
     values = [
         F.col("file_path"), F.col("line_number").cast("string"), F.col("column_start").cast("string"), F.col("column_end").cast("string"),
         stats.translated(F.col("pattern_type"), d.PATTERN_RU), stats.translated(F.col("severity"), d.SEVERITY_RU),
-        F.format_string("%.2f", "risk_score"), F.format_string("%.4f", "entropy_score"), stats.translated(F.col("description"), d.DESCRIPTION_RU), truncated(F.col("matched_text")), truncated(F.col("context")),
+        F.format_string("%.2f", F.bround("risk_score", 2)), F.format_string("%.4f", F.bround("entropy_score", 4)), stats.translated(F.col("description"), d.DESCRIPTION_RU), truncated(F.col("matched_text")), truncated(F.col("context")),
     ]
-    return findings.select(*[v.alias(n) for v, n in zip(values, d.CSV_HEADER)], *ORDER)
+    return findings.select(*[v.alias(n) for v, n in zip(values, d.CSV_HEADER)], *ORDER, *keep)
 
 
 def _summary(findings: DataFrame) -> dict:
