@@ -22,6 +22,8 @@ def test_ignored_findings(spark, tmp_path):
     f = spark.createDataFrame([("a", 1, "x"), ("b", 3, "bic"), ("b", 4, "bic"), (None, 3, "bic")], "file_path string, line_number int, pattern_type string")
     assert state.counts() == (1, 1)
     assert sorted(map(str, (r["file_path"] for r in state.applied(spark, f).collect()))) == ["None", "b"]
+    state.ignore_finding("b", 9, "bic")
+    assert state.restore_finding("b", 9, "bic").counts() == (1, 1) and state.restore_finding("b", 8, "bic").counts() == (1, 1)
     assert state.restore("b").counts() == (1, 0) and state.clear().counts() == (0, 0)
     assert state.applied(spark, f).count() == 4
 
@@ -37,6 +39,10 @@ def test_document_findings(spark):
 
     from veilscan.operators import image
 
-    j = spark.createDataFrame([(1, "/d/page-7.png", 85.0, True, "passport"), (2, "/d/x.png", 10.0, False, "id_card")], "id int, p string, final_score double, is_document boolean, document_type string")
-    r = image.document_findings(j, "id", F.col("p")).collect()
-    assert len(r) == 1 and (r[0]["line_number"], r[0]["severity"], r[0]["description"], r[0]["risk_level"], len(r[0]["warnings"]), len(r[0]["data_found"])) == (7, "critical", "Паспорт", "critical", 3, 4)
+    schema = "id int, p string, final_score double, is_document boolean, document_type string, confidence string, mrz_names string, page int"
+    j = spark.createDataFrame([(1, "/d/page-7.png", 85.0, True, "passport", "Высокая", None, 7), (2, "/d/x.png", 10.0, False, "id_card", "Нет", None, 1), (3, "/d/y.png", 70.0, True, "passport", "Высокая", "ERIKSSON ANNA", 1)], schema)
+    r = image.document_findings(j, "id", F.col("p")).orderBy("id").collect()
+    assert len(r) == 2 and (r[0]["line_number"], r[0]["severity"], r[0]["description"], r[0]["risk_level"], len(r[0]["warnings"]), len(r[0]["data_found"])) == (1, "critical", "Паспорт обнаружен", "critical", 3, 4)
+    assert r[0]["context"] == "Изображение документа (confidence: Высокая)" and (r[1]["description"], r[1]["context"]) == ("Паспорт с MRZ обнаружен", "MRZ: ERIKSSON ANNA")
+    pages = image.document_findings(j, "id", F.col("p"), F.col("page")).orderBy("id").collect()
+    assert (pages[0]["line_number"], pages[0]["description"], pages[0]["context"]) == (7, "Паспорт обнаружен в PDF", "PDF страница 7 (confidence: Высокая)")

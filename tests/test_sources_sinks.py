@@ -175,7 +175,10 @@ def test_export(tmp_path):
 
 def test_command_line(spark, tree, tmp_path, capsys):
     assert cli.main(["scan", str(tree), "--out", str(tmp_path / "r")], spark) == 0
-    assert len(list((tmp_path / "r").iterdir())) == 3 and "files_scanned" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert len(list((tmp_path / "r").iterdir())) == 3 and "files_scanned" in said and "Крит. " in said
+    assert cli.main(["scan", str(tree), "--archives", "--docs", "--table", str(tmp_path / "t")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "t")).count() > 0
     assert cli.main(["scan", str(tree / "none")], spark) == 1 and cli.main(["help"]) == 0 and cli.main(["deps"]) == 0
 
 

@@ -93,7 +93,12 @@ class IgnoreState:
         self.keys.add((path, line, kind))
         return self._saved()
 
+    def restore_finding(self, path: str, line: int, kind: str) -> IgnoreState:
+        self.keys.discard((path, line, kind))
+        return self._saved()
+
     def restore(self, path: str) -> IgnoreState:
+        """The file and all of its findings."""
         self.files.discard(path)
         self.keys = {k for k in self.keys if k[0] != path}
         return self._saved()
