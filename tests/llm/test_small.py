@@ -304,6 +304,28 @@ def test_mojibake(spark):
     assert mojibake.damaged(df.limit(0)).count() == 0
 
 
+def test_words_of_any_length_teach_the_letters(spark):
+    rng = random.Random(5)
+    stems = "найдено пять строк журнал содержит ответ новый договор подписан вчера сервер проверен запись удалена ключ заменён отчёт готов".split()
+    good = ["_".join(rng.choices(stems, k=60)) for _ in range(60)]
+    assert min(map(len, good)) > mojibake.LONGEST
+    bad = {1001: good[0].encode("koi8_r").decode("cp1251"), 1002: good[1].encode().decode("cp866"), 1003: "_".join(rng.choices(stems, k=9000)).encode("cp1251").decode("koi8_r")}
+    df = texts(spark, [*enumerate(good), *bad.items()]).withColumn("pool", F.lit("p"))
+    got = mojibake.damaged(df).toPandas()
+    assert sorted(got.id) == [1001, 1002, 1003]
+    fixed = dict(zip(got.id, got.repaired))
+    assert fixed[1001] == good[0] and fixed[1002] == good[1] and fixed[1003] == bad[1003].encode("koi8_r").decode("cp1251")
+
+
+def test_long_words_are_counted_and_joined_by_a_digest(spark):
+    word = "ж" * (mojibake.LONGEST + 1)
+    batch = pd.DataFrame({"pool": ["p", "q", "p"], "text": [f"a {word} б", word, f"{word} {word}"]})
+    counted = pd.concat(mojibake._words(iter([batch])))
+    assert sorted(counted.itertuples(index=False, name=None)) == [("p", "б", 1), ("p", word, 3), ("q", word, 1)]
+    keys = spark.createDataFrame([(w,) for w in (word, word[1:])], "word string").select(F.expr(mojibake.KEY)).toPandas()
+    assert keys.iloc[:, 0].tolist() == [mojibake._key(word), word[1:]]
+
+
 # ------------------------------------------------------------------------------------------------ 6
 
 
