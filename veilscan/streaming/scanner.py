@@ -12,9 +12,14 @@ from ..operators import scan
 from ..operators.ignore import IgnoreRules, only_extensions, unignored
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+#: Files of a batch while a stream runs, and where all files that are there are taken at once. A batch has costs of its own,
+#: a second or two, and no result depends on its size.
+ARRIVING, THERE = 1000, 16_000
+#: Tasks that list the files of a batch, and what opening a file counts for when files are put together in a task.
+LISTING_TASKS, OPEN_COST = 64, "64k"
 
 
-def arriving_files(spark: SparkSession, folder: str, pattern: str = "*", per_trigger: int = 1000) -> DataFrame:
+def arriving_files(spark: SparkSession, folder: str, pattern: str = "*", per_trigger: int = ARRIVING) -> DataFrame:
     """Files of a tree as they arrive. Spark leaves out names that begin with . or _; the batch lister does not."""
     return spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).load(folder)
 
@@ -37,7 +42,7 @@ def with_status(files: DataFrame, rules: IgnoreRules | None = None, only: list[s
     return kept.select("path", "length", status.alias("scan_status"), reason.alias("skip_reason"), text.alias("text")).withColumn("text", F.when(F.col("scan_status") == "scanned", F.col("text")))
 
 
-def in_scope(folder: str, spark: SparkSession, max_size: int, per_trigger: int = 1000) -> tuple[DataFrame, DataFrame]:
+def in_scope(folder: str, spark: SparkSession, max_size: int, per_trigger: int = ARRIVING) -> tuple[DataFrame, DataFrame]:
     """(files whose content is read, files too large to be): the size is asked of the source, which then leaves their bytes
     alone; a file above the source's own limit does not stop the stream."""
     files = arriving_files(spark, folder, per_trigger=per_trigger)
@@ -48,6 +53,17 @@ def stream_findings(files: DataFrame, **options) -> DataFrame:
     return scan.findings(with_status(files, **options).where("scan_status = 'scanned'"), "path", "text", strip_cr=True).withColumnRenamed("path", "file_path")
 
 
+def for_small_files(spark: SparkSession) -> SparkSession:
+    """A session with the settings of the given one in which many small files take few tasks. As Spark has it, each file of a
+    batch is listed by a task of its own, and a task reads as many as fit at 4 MB each, three or four where it gets 16 MB."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items() - own.conf.getAll.items():
+        own.conf.set(key, value)
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", LISTING_TASKS)
+    own.conf.set("spark.sql.files.openCostInBytes", OPEN_COST)
+    return own
+
+
 class StreamScan:
     """Start, pause, resume and stop one streaming scan.
 
@@ -72,10 +88,11 @@ class StreamScan:
         return self
 
     def start(self, once: bool = False) -> StreamScan:
-        """Does nothing while the scan runs. once: all files that are there, then end."""
+        """Does nothing while the scan runs. once: all files that are there, then end. The stream runs in a session of its own,
+        so that it is not among the streams of the given one; results and callbacks are of the given one."""
         if self.active:
             return self
-        read, large = in_scope(self.folder, self.spark, self.limit)
+        read, large = in_scope(self.folder, for_small_files(self.spark), self.limit, THERE if once else ARRIVING)
         # the content is a column of one side only, and both sides read the same files
         files = read.unionByName(large, allowMissingColumns=True)
 
